@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .quality_rules import SPACES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +46,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     hashed = source.select("id", F.xxhash64("text").alias("of"), _hashes(F.col("text"), min_chars).alias("keys"))
     once = hashed.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
     common = once.groupBy("key.h", "key.g").agg(F.count("*").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs)
+    common = stored(common, "common-lines")  # so that the join below can split a very common key
     each = hashed.select("id", "of", F.posexplode("keys").alias("at", "key")).where("key is not null").select("id", "of", "at", "key.h", "key.g")
     lost = each.join(common, ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
     drops = lost.groupBy(F.col("id").alias("drop_id"), F.col("of").alias("drop_of")).agg(F.collect_list("at").alias("drop"))
