@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, near_dedup, packing, quality_rules, token_files, tokenize
+from . import language_id, line_dedup, near_dedup, packing, quality_rules, token_files, tokenize, top_k
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op5_quality_rules,
         op7_bpe_round_trip,
+        op8_exact_top_k,
         op9_language_id,
         op10_near_dedup,
     )
@@ -75,6 +80,16 @@ marked as (
 select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
 from marked group by doc_id""",
+    "op8_exact_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v as q, v as c where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 10""",
     "op5_quality_rules": r"""
 with docs as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
