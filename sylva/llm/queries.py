@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, near_dedup, packing, quality_rules, token_files, tokenize, top_k
+from . import html_text, language_id, line_dedup, near_dedup, packing, quality_rules, token_files, tokenize, top_k
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing,
         op2_line_dedup,
         op3_token_files,
+        op4_html_extraction,
         op5_quality_rules,
         op7_bpe_round_trip,
         op8_exact_top_k,
