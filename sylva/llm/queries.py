@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, line_dedup, near_dedup, packing, quality_rules, token_files, tokenize, top_k
+from . import html_text, language_id, line_dedup, near_dedup, packing, quality_crf, quality_rules, token_files, tokenize, top_k
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_html_extraction,
         op5_quality_rules,
+        op6_quality_classifier,
         op7_bpe_round_trip,
         op8_exact_top_k,
         op9_language_id,
