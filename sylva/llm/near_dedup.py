@@ -141,7 +141,7 @@ def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices([len(x) for x in texts], rows=256, chars=1_500_000):
+            for a, b in slices([len(x) for x in texts], rows=128, chars=500_000):
                 sets = shingles(texts[a:b])
                 keys = band_keys(signatures(sets, bands * rows), bands, rows)
                 n = np.array([len(s) for s, _ in sets])
