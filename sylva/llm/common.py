@@ -2,51 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: dict[str, str] = {}
+from ..storage import new_folder, shared_folder, stored
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (as in tests) gets a temporary folder; on a
-    cluster a missing setting is an error, since executors do not share local folders.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="sylva-")
-        _FOLDERS[app] = f"{base.rstrip('/')}/sylva-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM has already gone
-        pass
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_folder", "shared_folder", "slices", "stored", "table"]
 
 
 def slices(lengths: list[int], rows: int = 512, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
