@@ -43,7 +43,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), text.alias("text"))
-    hashed = source.select("id", F.xxhash64("text").alias("of"), _hashes(F.col("text"), min_chars).alias("keys"))
+    hashed = stored(source.select("id", F.xxhash64("text").alias("of"), _hashes(F.col("text"), min_chars).alias("keys")), "line-keys")
     once = hashed.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
     common = once.groupBy("key.h", "key.g").agg(F.count("*").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs)
     common = stored(common, "common-lines")  # so that the join below can split a very common key
