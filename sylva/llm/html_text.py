@@ -322,5 +322,5 @@ def extract(pages: DataFrame, html_col: str = "html", carry: list[str] | None =
 
     kept = F.struct(F.lit(True).alias("_"), *(pages[c] for c in names))
     rows = pages.select(kept.alias("row"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    out = rows.mapInArrow(run, StructType([rows.schema["row"]]).add("text", "string").add("n_chars", "bigint"))
+    out = rows.mapInArrow(run, StructType([rows.schema["row"]]).add("text", "string").add("n_chars", "long"))
     return out.select(*(F.col("row")[c].alias(c) for c in names), "text", "n_chars")
