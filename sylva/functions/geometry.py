@@ -19,7 +19,7 @@ def non_empty(rects: DataFrame) -> DataFrame:
 
 def valid_record(record: Column, ts: Column, te: Column) -> Column:
     """Validity of an array of (s, te_from): the last pair not after te decides."""
-    last = F.element_at(F.filter(record, lambda x: x["te_from"] <= te), -1)
+    last = F.try_element_at(F.filter(record, lambda x: x["te_from"] <= te), F.lit(-1))
     return F.coalesce(last["s"] < ts, F.lit(False))
 
 
