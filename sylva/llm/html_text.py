@@ -26,7 +26,7 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("iframe noembed noframes noscript object script style svg template textarea title math audio video canvas".split())
+RAW_TAGS = frozenset("iframe noembed noframes noscript object script style svg template textarea title audio video canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open tag of the key's kind is closed by an open tag of these kinds.
 _P_CLOSERS = BLOCK_TAGS - {"button", "caption", "option", "optgroup", "legend", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "head", "body"}
@@ -50,16 +50,18 @@ TAG_WEIGHT = {
     "dialog": -9.0, "fieldset": -6.0, "label": -4.0, "legend": -6.0, "search": -9.0, "head": -20.0, "option": -9.0, "address": -2.0,
 }
 _BAD_NAMES = (
-    r"ads?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|overlay|modal|newsletter|"
+    r"ads?|adsbygoogle|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|overlay|modal|newsletter|"
     r"subscribe|subscription|signup|signin|login|register|share|sharing|social|sidebar|side|aside|related|recommend(?:ed|ation|ations)?|breadcrumbs?|menus?|navbar|nav|navigation|"
     r"footer|header|masthead|topbar|toolbar|copyright|legal|disclaimer|comments?|commentlist|replies|reply|respond|disqus|discussion|reactions?|search|widgets?|pagination|pager|"
-    r"taglist|skip|hidden|form|paywall|trending|popular|complementary|contentinfo"
+    r"taglist|toc|skip|hidden|form|paywall|trending|popular|complementary|contentinfo"
 )
 _BAD_NAME = re.compile(rf"(?:^|[^a-z])(?:{_BAD_NAMES})(?:$|[^a-z])")
+#: Names that only say what else the page has, and names of the head of an article itself.
+_NO_NAME = re.compile(r"^(?:has|with|without|no|is|not)(?:$|[^a-z])|(?:article|entry|post|story|content|page)[^a-z]*(?:header|head|title)$")
 _GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|articlebody|story|post|entry|content|main|maincontent|body|text|prose)(?:$|[^a-z])")
 BAD_NAME_WEIGHT, GOOD_NAME_WEIGHT, HIDDEN_WEIGHT = -9.0, 1.0, -9.0
 #: Weights of a block's own features.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKS, HEADING = -1.0, 0.08, 40, 0.8, -5.0, 0.6
+BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKS, HEADING = -1.0, 0.08, 40, 0.8, -2.5, 0.6
 #: Capacities of the edges to the next block and the next sibling, divided by the tree distance.
 NEXT, SIBLING = 1.0, 1.0
 
@@ -84,13 +86,13 @@ def _weight(tag: str, attributes: str, parent: Element) -> float:
     own = TAG_WEIGHT.get(tag, 0.0)
     if tag == "header" and parent.weight > 0:
         own = 0.0  # an article's own header holds its headline
-    if "=" in attributes or "hidden" in attributes:
+    if tag not in ("html", "body") and ("=" in attributes or "hidden" in attributes):
         for m in _NAMES.finditer(attributes):
             # a camelCase name counts as its parts
-            name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()
-            if _BAD_NAME.search(name):
+            names = [x for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower().split() if not _NO_NAME.search(x)]
+            if any(map(_BAD_NAME.search, names)):
                 own += BAD_NAME_WEIGHT
-            elif _GOOD_NAME.search(name):
+            elif any(map(_GOOD_NAME.search, names)):
                 own += GOOD_NAME_WEIGHT
         if _HIDDEN.search(attributes):
             own += HIDDEN_WEIGHT

@@ -24,6 +24,17 @@ def test_main_text_of_a_page():
     assert html_text.main_text(PAGE).split("\n\n") == ["Headline here", "First paragraph, with a link & more text.", "Second <one> here, short.", "Third paragraph goes on.", "item one", "item two"]
 
 
+PLAIN = """<html><body class="single comments-open has-sidebar"><div id="top-menu"><a>One</a> <a>Two</a></div><main class="content with-sidebar"><header class="entry-header"><h1>Title</h1></header>
+<div class="entry-content"><p>One paragraph of words that say something.</p><p><a href=x>Only a link in here</a></p><p>Yes.</p><div class="newsletter-signup"><p>Sign up for our letter and get more of this each week.</p></div>
+<blockquote>Quoted.</blockquote></div></main><div id="comments"><ol class="commentlist"><li><article class="comment"><p>A reader has a lot to say about this, and says it here.</p></article></li></ol></div>
+<div class="siteFooter">About us</div></body></html>"""
+
+
+def test_main_text_of_a_page_without_article():
+    assert html_text.main_text(PLAIN).split("\n\n") == ["Title", "One paragraph of words that say something.", "Only a link in here", "Yes.", "Quoted."]
+    assert html_text.main_text("<p>Bare.</p>\n<p>Two paragraphs with a few words each, no more.</p>") == "Bare.\n\nTwo paragraphs with a few words each, no more."
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "a < b > c", "<p>x</b></p", "<!-- open", "<script>x", "</p></p>", "<a title='>'>x</a>", "<p>&#x41;&bogus;&am</p>", "\x00<b>퟿</b>", "<div " + "x='" * 500])
 def test_broken_markup(page):
     assert isinstance(html_text.main_text(page), str)
