@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 from .library_tokens import library_ids
 
-#: Ranks are given within (length, hash bucket), so that one very common length is no single task.
-RANK_BUCKETS = 256
+#: Ranks are given within hash buckets of a length of this many pieces, or the root of their number if that
+#: is more: neither a bucket nor the list of a length's buckets then is large, even if all pieces have one length.
+BUCKET_ROWS = 1000
 PLAN = "length int, rank_from bigint, rank_to bigint, first_sequence bigint, per_sequence bigint, first_offset bigint"
 
 
@@ -96,8 +98,8 @@ def assign(parts: DataFrame, size: int) -> DataFrame:
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(histogram, size), PLAN)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    dealt = parts.withColumn("_bucket", bucket)
+    dealing = spark.createDataFrame([(n, max(1, k // max(BUCKET_ROWS, isqrt(k)))) for n, k in histogram.items()], "length bigint, _buckets bigint")
+    dealt = parts.join(F.broadcast(dealing), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_buckets"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
