@@ -14,9 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import slices, stored
 
@@ -26,6 +25,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Up to this many documents to verify are broadcast by their 16-byte digests (about 50 MB); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Up to this many links are labelled in one task (a few hundred MB); more by rounds of joins.
+LOCAL_EDGES = 2_000_000
 
 _MASK = 2**64 - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -174,16 +175,22 @@ def _sets(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge that is not its component's least node.
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, root) for every node of an edge (a, b) that is not its component's least node.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing changes; every
-    step is two aggregations and joins over edges, none of which gathers a node's neighbours, and
-    least neighbours are stored, so that the join with a hub's edges can be split.
+    Up to ``local_edges`` edges (16 bytes each) are labelled in one task. Beyond that every task
+    contracts the edges that it has to stars, and then large-star and small-star steps alternate
+    (Kiveris et al., 2014) until nothing changes: two aggregations and joins over edges, none of which
+    gathers a node's neighbours. Least neighbours are stored so that the join with a hub's edges can
+    be split. Both ways give the same rows.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = stored(edges, "edges")
+    if edges.count() <= local_edges:
+        return stored(edges.repartition(1).mapInArrow(_contract, "u bigint, v bigint"), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = stored(edges.mapInArrow(_contract, "u bigint, v bigint").distinct(), "edges")
     mark = _fingerprint(edges)
-    while mark[0]:
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -193,64 +200,100 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(small.distinct(), "edges")
         before, mark = mark, _fingerprint(edges)
         if before == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the least node of each of their components."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    nodes, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = ends[: table.num_rows], ends[table.num_rows :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for x in (label[u], label[v], u, v):
+            np.minimum.at(new, x, low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        label = new
+    at = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], ["u", "v"])
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
 
-def _empty(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([], StructType([StructField(n, LongType()) for n in names]))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity; only their documents' sets are moved, where they are few enough to broadcast their numbers."""
+    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    if ends.count() <= BROADCAST_NODES:
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    found = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return stored(found.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "linked")
+
+
+def _prefix_pairs(sets: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different roots among ``rest`` (node, root): every pair that reaches the similarity is there.
+
+    Prefix and position filters (Xiao et al., 2008): with shingles in ascending order of how many of
+    these documents have them, two sets of n and m shingles that reach similarity t have a common one
+    among the first n - ceil(t n) + 1 and m - ceil(t m) + 1, and the first of those at places p and q
+    leaves room for min(n - p, m - q) in common. Rare shingles come first, so edits that a document
+    has for itself use up its prefix, and a large group of copies yields few pairs. Of a shingle's
+    documents, those in its most common component are only met by the others.
+    """
+    t = F.lit(similarity)
+    each = sets.join(rest, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    several = stored(each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "s")) - 1
+    prefix = each.join(several, "s").withColumn("p", place).where(F.col("p") < F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    prefix = stored(prefix.select("s", "node", "root", "n", "p"), "prefixes")
+    common = prefix.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("m"))
+    dealt = prefix.join(stored(common.select("s", F.col("m.root").alias("common")), "common"), "s")
+    dealt = stored(dealt.select("s", "node", "root", "n", "p", (F.col("root") != F.col("common")).alias("minor")), "dealt")
+    x, y = dealt.where("minor").alias("x"), dealt.alias("y")
+    c = F.col
+    once = ~c("y.minor") | (c("x.node") < c("y.node"))
+    room = F.least(c("x.n") - c("x.p"), c("y.n") - c("y.p")) * (1 + t) >= t * (c("x.n") + c("y.n")) - 1e-9
+    met = x.join(y, (c("x.s") == c("y.s")) & (c("x.root") != c("y.root")) & once & room)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, similarity: float) -> DataFrame:
     """(node, root): the components of all candidate pairs that reach the similarity.
 
-    Candidates of a bucket are first compared with its least member alone. A bucket whose members are
-    then in one component is done. In the others further members become hubs, twice as many in each
-    round, and are compared with the members after them that are still in other components; the
-    rounds end when no such pair is left, so every candidate pair is either compared or already
-    joined. No round lists pairs within what is joined, so a large group of copies costs its size.
+    A document is first compared with the least member of all its buckets, one pair a document. A
+    bucket whose members are then in one component is done. The documents of all other buckets are
+    joined exactly by prefixes, whatever buckets they share, so every candidate pair is compared,
+    ruled out by a bound, or already joined, and nothing lists the pairs of a bucket.
     """
     keyed = digests.join(nodes.select("node"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), "n", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1")
-    full = stored(full.select(F.col("key").alias("k"), "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    members = stored(keyed.join(full, F.col("key") == F.col("k")).select("key", "node", "n", "size", "hub", "hub_n"), "members")
-    near = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)  # noqa: E731  else they can't reach it
-    pairs = members.where("node <> hub").where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    edges, roots, ranked, round_ = None, None, None, 0
-    while True:
-        pairs = stored(pairs.distinct(), "pairs")
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = stored(digests.join(ends, F.col("uid") == F.col("node")).select("node", "doc_id", "md5"), "wanted")
-            sets = stored(_sets(docs, text, wanted), "sets")
-            with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-            both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            shared = F.size(F.array_intersect("sa", "sb"))
-            good = both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
-            edges = good if edges is None else edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(good)
-            roots = components(edges)
-            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        if roots is None:
-            roots = _empty(docs.sparkSession, "node", "root")
-        if ranked is None:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            ranked = members.where("size > 2").select("key", "node", "n", "size")
-            ranked = stored(ranked.withColumn("rank", rank), "ranked") if not ranked.isEmpty() else None
-        if ranked is None:
-            return roots
-        round_ += 1
-        low, high = 2**round_ // 2 + 1, 2**round_  # after rank 1: 2, 3-4, 5-8, ...
-        placed = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        placed = stored(placed.join(stored(spread, "spread"), "key", "left_semi").where(F.col("size") > low), "placed")
-        if placed.isEmpty():
-            return roots
-        hubs = placed.where(F.col("rank").between(low, high)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("root").alias("root_a"))
-        pairs = placed.join(hubs, "key").where("rank > ra and root <> root_a").where(near(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b"))
+    full = stored(full.select(F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    members = stored(keyed.join(full, F.col("key") == F.col("k")).select("key", "node", "n", "hub", "hub_n"), "members")
+    wanted = digests.join(members.select("node").distinct(), F.col("uid") == F.col("node")).select("node", "doc_id", "md5")
+    sets = stored(_sets(docs, text, stored(wanted, "wanted")), "sets")
+    t = F.lit(similarity)
+    near = F.least("n", "hub_n") >= t * F.greatest("n", "hub_n")  # else they can't reach it
+    first = members.where("node <> hub").where(near).groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
+    roots = components(_verified(stored(first.select("a", "b"), "pairs"), sets, similarity))
+    placed = stored(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    rest = stored(placed.join(stored(spread, "spread"), "key", "left_semi").select("node", "root").distinct(), "rest")
+    if rest.isEmpty():
+        return roots
+    fresh = _verified(stored(_prefix_pairs(sets, rest, similarity), "pairs"), sets, similarity)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,8 +108,9 @@ def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 300), (300, 250)]
     r.shuffle(pairs)
     edges = spark.createDataFrame([(a, b) if r.random() < 0.5 else (b, a) for a, b in pairs], "a bigint, b bigint")
-    found = {x.node: x.root for x in near_dedup.components(edges).collect()}
-    assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {300: 200, 250: 200}
+    for most in (near_dedup.LOCAL_EDGES, 0):
+        found = {x.node: x.root for x in near_dedup.components(edges, most).collect()}
+        assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {300: 200, 250: 200}
 
 
 def test_awkward_tables(spark):
