@@ -241,23 +241,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stored(found.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "linked")
 
 
-def _prefix_pairs(sets: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of different roots among ``rest`` (node, root): every pair that reaches the similarity is there.
-
-    Prefix and position filters (Xiao et al., 2008): with shingles in ascending order of how many of
-    these documents have them, two sets of n and m shingles that reach similarity t have a common one
-    among the first n - ceil(t n) + 1 and m - ceil(t m) + 1, and the first of those at places p and q
-    leaves room for min(n - p, m - q) in common. Rare shingles come first, so edits that a document
-    has for itself use up its prefix, and a large group of copies yields few pairs. Of a shingle's
-    documents, those in its most common component are only met by the others.
+def _prefixes(sets: DataFrame, rest: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For the documents ``rest`` (node): (s, node, n, p), their prefixes, and (node, n, c), how many of their n shingles another of them has.
+
+    With shingles in ascending order of how many of these documents have them, two sets of n and m
+    shingles that reach similarity t have a common one among the first n - ceil(t n) + 1 and
+    m - ceil(t m) + 1; p is a shingle's place from 0.
     """
     t = F.lit(similarity)
-    each = sets.join(rest, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = sets.join(rest, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     several = stored(each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1"), "several")
     own = Window.partitionBy("node")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "s")) - 1
-    prefix = each.join(several, "s").withColumn("p", place).where(F.col("p") < F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
-    prefix = stored(prefix.select("s", "node", "root", "n", "p"), "prefixes")
+    placed = each.join(several, "s").withColumn("c", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("k", "s")))
+    placed = placed.withColumn("p", F.col("n") - F.col("c") + F.col("r") - 1).where(F.col("p") < F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    prefix = stored(placed.select("s", "node", "n", "c", "p"), "prefixes")
+    return prefix.drop("c"), prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+
+
+def _prefix_pairs(prefix: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different components: every such pair that reaches the similarity is there.
+
+    Position filter (Xiao et al., 2008): a common shingle at places p and q leaves room for
+    min(n - p, m - q) in common, and for the first one that must be enough. Rare shingles come first,
+    so edits that a document has for itself use up its prefix, and a large group of copies yields few
+    pairs. Of a shingle's documents, those in its most common component are only met by the others.
+    """
+    t = F.lit(similarity)
+    prefix = stored(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     common = prefix.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("m"))
     dealt = prefix.join(stored(common.select("s", F.col("m.root").alias("common")), "common"), "s")
     dealt = stored(dealt.select("s", "node", "root", "n", "p", (F.col("root") != F.col("common")).alias("minor")), "dealt")
@@ -273,9 +283,11 @@ def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, s
     """(node, root): the components of all candidate pairs that reach the similarity.
 
     A document is first compared with the least member of all its buckets, one pair a document. A
-    bucket whose members are then in one component is done. The documents of all other buckets are
-    joined exactly by prefixes, whatever buckets they share, so every candidate pair is compared,
-    ruled out by a bound, or already joined, and nothing lists the pairs of a bucket.
+    bucket whose members are then in one component is done. In the others, a document is compared
+    with the member of its buckets that shares the most with anybody, which in a group of edited
+    copies is near the original. Then the documents of these buckets are joined exactly by
+    prefixes, whatever buckets they share. So every candidate pair is compared, ruled out by a bound,
+    or already joined, and nothing lists the pairs of a bucket.
     """
     keyed = digests.join(nodes.select("node"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), "n", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1")
@@ -287,13 +299,22 @@ def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, s
     near = F.least("n", "hub_n") >= t * F.greatest("n", "hub_n")  # else they can't reach it
     first = members.where("node <> hub").where(near).groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
     roots = components(_verified(stored(first.select("a", "b"), "pairs"), sets, similarity))
+
     placed = stored(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    rest = stored(placed.join(stored(spread, "spread"), "key", "left_semi").select("node", "root").distinct(), "rest")
-    if rest.isEmpty():
+    placed = stored(placed.join(stored(spread, "spread"), "key", "left_semi"), "rest")
+    if placed.isEmpty():
         return roots
-    fresh = _verified(stored(_prefix_pairs(sets, rest, similarity), "pairs"), sets, similarity)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh))
+    prefix, shared = _prefixes(sets, placed.select("node").distinct(), similarity)
+
+    share = F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("minus"), "root", "n")
+    able = stored(placed.join(shared, "node").select("key", "node", "root", "n", share.alias("me")), "able")
+    best = stored(able.groupBy("key").agg(F.max("me").alias("hub")), "central")
+    met = able.join(best, "key").where((F.col("root") != F.col("hub.root")) & (F.least("n", "hub.n") >= t * F.greatest("n", "hub.n")))
+    second = met.groupBy(F.col("node").alias("b")).agg(F.max("hub").alias("hub")).select((-F.col("hub.minus")).alias("a"), "b")
+    linked = lambda pairs: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(stored(pairs, "pairs"), sets, similarity)))
+    roots = linked(second)
+    return linked(_prefix_pairs(prefix, roots, similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
