@@ -5,7 +5,9 @@ Poisson process whose rate is its weight; an arrival picks a register, and a reg
 shingle that arrives first. Two registers agree with the probability Jaccard similarity of the
 weighted sets. Processing stops early: arrivals later than the latest register's time cannot matter.
 Bands of registers give candidate pairs, and a pair is linked if the plain Jaccard similarity of the
-two shingle sets, computed exactly, reaches the threshold. Classes are the connected components.
+two shingle sets, computed exactly, reaches the threshold. Repetition can make the weighted similarity
+of such a pair as low as one likes, so a document that repeats a shingle has the bands of its unweighted
+signature too; any other document's two signatures are the same. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import slices, stored
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair at similarity 0.8 shares some band with probability 1 - (1 - 0.8**5)**25 > 0.9999.
+#: A pair at plain similarity 0.8 shares some unweighted band with probability 1 - (1 - 0.8**5)**25 > 0.9999.
 BANDS, ROWS = 25, 5
 #: Up to this many documents to verify are broadcast by their 16-byte digests (about 50 MB); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
@@ -136,6 +138,19 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def all_keys(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct band keys of each weighted set and, where an element occurs more than once, of the set without weights; and the number of each key's set, ascending."""
+    some = np.flatnonzero([len(s) > 0 for s, _ in sets])
+    again = np.flatnonzero([len(c) > 0 and c.max() > 1 for _, c in sets])
+    weighted = band_keys(signatures(sets, bands * rows), bands, rows)
+    plain = band_keys(signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in again], bands * rows), bands, rows) if len(again) else weighted[:0]
+    new = plain != weighted[again]
+    keys = np.concatenate([weighted[some].ravel(), plain[new]])
+    owners = np.concatenate([np.repeat(some, bands), np.repeat(again, new.sum(1))])
+    order = np.argsort(owners, kind="stable")
+    return keys[order], owners[order]
+
+
 def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
     """(doc_id, md5, n, bands) of each row, with a number ``uid``; n is its count of distinct shingles."""
 
@@ -144,10 +159,10 @@ def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
             texts = batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], rows=128, chars=500_000):
                 sets = shingles(texts[a:b])
-                keys = band_keys(signatures(sets, bands * rows), bands, rows)
                 n = np.array([len(s) for s, _ in sets])
-                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
+                keys, owners = all_keys(sets, bands, rows)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(sets)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int32()), lists], ["doc_id", "md5", "n", "bands"])
 
     source = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))

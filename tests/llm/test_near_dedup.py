@@ -103,6 +103,18 @@ def test_a_large_group_with_members_of_its_own(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, docs)).collect()} == brute(list(enumerate(docs)))
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Pairs that the plain similarity accepts although repetition in one of them makes the weighted one low."""
+    r = random.Random(3)
+    docs = []
+    for _ in range(100):
+        words, line = [f"w{r.randrange(10**9)}" for _ in range(104)], [f"x{r.randrange(10**9)}" for _ in range(16)]
+        docs += [" ".join(words), " ".join(words + line * 30)]
+    expected = brute(list(enumerate(docs)))
+    assert sum(i != c for i, c in expected.items()) == 100
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, docs)).collect()} == expected
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 300), (300, 250)]
