@@ -332,31 +332,34 @@ def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, s
     return linked(_prefix_pairs(prefix, roots, similarity))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, md5 (of its text), class_id, class_size, kept.
 
     ``class_id`` is the least doc_id of the class (null ids come last), and ``kept`` marks one row of
-    each class, one that has that id. Texts without words, null ones included, are compared with
-    nothing and are classes of their own. Equal texts are collapsed before anything else; shorter
-    texts than a shingle are one shingle. An empty table gives an empty one.
+    each class, one that has that id. Texts without words are near to nothing: with ``wordless``
+    equal ones are a class (a null text is equal to an empty one), else each is a class of its own.
+    Equal texts are collapsed before anything else; shorter texts than a shingle are one shingle. An
+    empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     digests = _digests(docs, text, bands, rows)
     worded = digests.where("n > 0")
-    nodes = stored(worded.groupBy("md5").agg(F.min("uid").alias("node")), "nodes")
+    alike = digests if wordless else worded
+    nodes = stored(alike.groupBy("md5").agg(F.min("uid").alias("node")), "nodes")
     roots = links(docs, worded, nodes, text, similarity)
-    own = digests.select("uid", "doc_id", "md5", "n")
-    placed = own.where("n > 0").join(nodes, "md5").select("uid", "doc_id", "md5", "node").unionByName(own.where("n = 0").select("uid", "doc_id", "md5", F.col("uid").alias("node")))
+    placed = alike.select("uid", "doc_id", "md5").join(nodes, "md5").select("uid", "doc_id", "md5", "node")
+    if not wordless:
+        placed = placed.unionByName(digests.where("n = 0").select("uid", "doc_id", "md5", F.col("uid").alias("node")))
     placed = stored(placed.join(roots, "node", "left").select("uid", "doc_id", "md5", F.coalesce("root", "node").alias("root")), "placed")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")
     heads = stored(placed.groupBy("root").agg(best, F.count("*").alias("class_size")).select("root", "class_size", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("head")), "classes")
     return placed.join(heads, "root").select("doc_id", "md5", "class_id", "class_size", (F.col("uid") == F.col("head")).alias("kept"))
 
 
-def keep(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, all columns unchanged; of rows equal in id and text one stays."""
-    stay = classes(docs, similarity, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("id"), F.col("md5").alias("digest"))
+def keep(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
+    """One row of each class, all columns unchanged; of rows equal in id and text one stays. See classes."""
+    stay = classes(docs, similarity, id_col=id_col, text_col=text_col, wordless=wordless).where("kept").select(F.col("doc_id").alias("id"), F.col("md5").alias("digest"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("md5"))
     rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("md5") == F.col("digest")), "left_semi")

@@ -54,7 +54,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    found = near_dedup.classes(table(spark, sf_dir, "documents"), wordless=True)
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 

@@ -140,6 +140,16 @@ def test_awkward_tables(spark):
     assert near_dedup.keep(documents(spark, TEXTS[3:5])).count() == 2
 
 
+def test_equal_texts_without_words(spark):
+    import corpus_pipeline
+
+    df = documents(spark, ["", "a b", None, " ", "", " ", "\n", "a b", ""])
+    found = near_dedup.classes(df, wordless=True).collect()
+    assert {x.doc_id: (x.class_id, x.class_size) for x in found} == {0: (0, 4), 1: (1, 2), 2: (0, 4), 3: (3, 2), 4: (0, 4), 5: (3, 2), 6: (6, 1), 7: (1, 2), 8: (0, 4)}
+    assert sorted(x.doc_id for x in found if x.kept) == [0, 1, 3, 6]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 1, 3, 6]
+
+
 def test_query_on_the_smallest_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).collect()]
     from sylva.llm.queries import op10_near_dedup
