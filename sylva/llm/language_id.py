@@ -23,6 +23,8 @@ UNDETERMINED = "und"
 PROFILE = 300
 #: At most about this many documents of each language are used to learn its profile.
 FIT_DOCS = 5000
+#: keep() rejects texts whose best language is less similar than LEAST times what LOW of the learned documents stay below.
+LOW, LEAST = 0.01, 0.6
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SHIFT = 21  # bits of a code point
 _BLANK = 32
@@ -49,7 +51,8 @@ def ranked(keys: np.ndarray, size: int) -> np.ndarray:
 
 
 class Profiles:
-    def __init__(self, profiles: dict[str, list[int]], size: int) -> None:
+    def __init__(self, profiles: dict[str, list[int]], size: int, floor: float = 0.0) -> None:
+        self.floor = floor
         self.size, self.langs, self.profiles = size, sorted(profiles), profiles
         self.keys = np.unique(np.concatenate([np.array(profiles[x], np.int64) for x in self.langs])) if profiles else np.empty(0, np.int64)
         self.ranks = np.full((len(self.langs), len(self.keys) + 1), -1, np.int64)
@@ -66,7 +69,7 @@ class Profiles:
         return 1 - apart.sum(1) / (self.size * len(top))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """A language and a score from 0 to 1, its share of all languages' similarity, for each text."""
+        """A language and a score from 0 to 1, its share of all languages' similarity, for each text; "und" below the least similarity."""
         keys, counts = grams(texts)
         ends, out = np.concatenate([[0], np.cumsum(counts)]), []
         for text, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
@@ -75,6 +78,9 @@ class Profiles:
                 continue
             like = self.similarity(keys[a:b])
             best = int(np.argmax(like))
+            if like[best] < self.floor:
+                out.append((UNDETERMINED, 0.0))
+                continue
             out.append((self.langs[best], float(like[best] / like.sum()) if like.sum() > 0 else 0.0))
         return out
 
@@ -83,23 +89,33 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, profile: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from the texts of documents with a language that are not held out.
-
-    A language with more than ``fit_docs`` such documents is thinned to about that many by a hash of
-    the id (a bound on learning alone). What comes to the driver is one count a language and
-    ``profile`` numbers a language. Rows with a null id, text or language teach nothing.
-    """
+def learned(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
+    """(lang, text) of the documents that fit() learns from; None without any."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Profiles({}, profile)
+        return None
     one = 1 << 30
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(one * min(1.0, fit_docs / n))).otherwise(share)
-    chosen = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(one)) < share)).select("lang", "text")
+    return rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(one)) < share)).select("lang", "text")
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, profile: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from the texts of documents with a language that are not held out.
+
+    A language with more than ``fit_docs`` such documents is thinned to about that many by a hash of
+    the id (a bound on learning alone). What comes to the driver is one count a language and
+    ``profile`` numbers a language. Rows with a null id, text or language teach nothing.
+    """
+    return _profiles(learned(docs, fit_docs, id_col, text_col, lang_col), profile)
+
+
+def _profiles(chosen: DataFrame | None, profile: int) -> Profiles:
+    if chosen is None:
+        return Profiles({}, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +136,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, profile: int = PROFILE, id_co
 
 def predict(docs: DataFrame, model: Profiles, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (all by default) in a struct ``row``, with lang_pred and score; a null text, or one without a letter, is "und" with score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.profiles, model.size))
+    shared = docs.sparkSession.sparkContext.broadcast((model.profiles, model.size, model.floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(*shared.value)
@@ -141,7 +157,32 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def least_similarity(chosen: DataFrame, model: Profiles) -> float:
+    """The similarity below which a text is in none of the languages: LEAST times a low percentile of learned texts to their best languages. One number comes to the driver."""
+    shared = chosen.sparkSession.sparkContext.broadcast((model.profiles, model.size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Profiles(*shared.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(x) for x in texts]):
+                keys, counts = grams(texts[a:b])
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                like = [float(own.similarity(keys[i:j]).max()) for i, j in zip(ends[:-1], ends[1:], strict=True) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(like, pa.float64())], ["like"])
+
+    low = chosen.mapInArrow(run, "like double").agg(F.percentile_approx("like", LOW)).first()[0]
+    return max(LEAST * (low or 0.0), 1e-9)
+
+
 def keep(docs: DataFrame, min_similarity_share: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose language can be told (not "und") with at least the score given."""
-    found = predict(docs, fit(docs))
+    """The rows of ``docs``, all columns unchanged, whose language can be told (not "und") with at least the score given.
+
+    A text that is too far from the profiles of all languages is "und" here; see least_similarity.
+    """
+    chosen = learned(docs)
+    model = _profiles(chosen, PROFILE)
+    if model.langs:
+        model.floor = least_similarity(chosen, model)
+    found = predict(docs, model)
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_similarity_share)).select("row.*")

@@ -155,3 +155,16 @@ def test_language_of_awkward_tables(spark):
     kept = language_id.keep(df)
     assert kept.columns == df.columns and kept.where("text is null").count() == 0
     assert LONG in {r.text for r in kept.collect()}
+
+
+def test_texts_that_match_no_profile_are_rejected(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    n = docs.columns.index("text")
+    base = list(docs.limit(1).first())
+    texts = ["Привет мир как дела", "καλημέρα κόσμε " * 40, "日本語の文章です。" * 30, "Zażółć gęślą jaźń wczoraj poszliśmy szybko przez most " * 20, "xq zvk jjw qqz wxk " * 60]
+    ids = [10**9 + i for i in range(len(texts))]
+    more = spark.createDataFrame([tuple(i if c == "doc_id" else None if c == "lang" else t if k == n else base[k] for k, c in enumerate(docs.columns)) for i, t in zip(ids, texts, strict=True)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
