@@ -70,6 +70,11 @@ def canonical_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("src", "dest", "weight", "ts", "rank")
 
 
+def canonical_ranks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge's place in the canonical order of its timestamp."""
+    return order.canonical_rank(graphs.trade(spark, sf_dir), "ts").select("src", "dest", "weight", "ts", "rank")
+
+
 def local_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.local_forest(graphs.trade(spark, sf_dir))
 
@@ -216,7 +221,7 @@ def forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        graph_stats, edges_per_timestamp, snapshot_window, timestamp_point_scan, base_stream_split, generate_windows, canonical_ranks, local_forest,
+        graph_stats, edges_per_timestamp, snapshot_window, timestamp_point_scan, base_stream_split, generate_windows, canonical_ranks, canonical_ranks_all, local_forest,
         window_msf_online, window_msf_kway, msf_whole_graph, msf_boruvka, msf_weight_by_window, msf_components_by_window, msf_rejected_edges,
         staircase_records, staircase_parallel, staircase_incremental, expiry_rectangles, mean_lifetime, mean_t_per_s, segment_nodes, quad_cover_histogram,
         strategy_differences, sliding_window_msf, dynamic_codes, sliding_operations, reinsert_sample, systematic_sample, simple_lightest_edges, adjacency_lists,
@@ -284,6 +289,7 @@ ORACLE_SQL: dict[str, str] = {
     "base_stream_split": f"with {_TRADE}, c as (select max(ts) + 1 as t from trade) select cast(floor(t * 0.8) as int) as n_base, cast(t - floor(t * 0.8) as int) as n_stream from c",
     "generate_windows": f"with {_WINDOWS} select * from w",
     "canonical_ranks": f"with {_TRADE} select * from (select *, cast(row_number() over (partition by ts order by weight, src, dest) as int) as rank from trade) where rank <= 3",
+    "canonical_ranks_all": f"with {_TRADE} select *, cast(row_number() over (partition by ts order by weight, src, dest) as int) as rank from trade",
     "local_forest": f"with {_LOCAL} select src, dest, weight, ts from lf",
     "msf_boruvka": f"with {_LOCAL} select src, dest, weight, ts from lf",
     "msf_whole_graph": f"with {_LOCAL}, {_msf('msf', 'select 0 as k, src, dest, weight, ts from lf')} select src, dest, weight, ts from msf",

@@ -17,6 +17,11 @@ def test_dynamic_codes_are_consistent(spark):
     assert all(code >= 0 for _, code in codes)
 
 
+def test_whole_graph_queries_return_every_edge(spark):
+    n = queries.graphs.trade(spark, LIGHT).count()
+    assert queries.canonical_ranks_all(spark, LIGHT).count() == n
+
+
 def test_forests_have_the_size_that_their_components_leave(spark):
     for r in queries.session_local_forest(spark, LIGHT).collect():
         assert 0 < r.n_edges < 15
