@@ -110,6 +110,12 @@ def msf_rejected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.split_forest(some, "k").where("not picked").select("src", "dest", "weight", "ts")
 
 
+def msf_rejected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of the graph that are not in its forest."""
+    edges = stored(graphs.trade(spark, sf_dir), "trade").withColumn("k", F.lit(0).cast("bigint"))
+    return forest.split_forest(edges, "k").where("not picked").select("src", "dest", "weight", "ts")
+
+
 def staircase_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staircase.staircase(_local(spark, sf_dir), blocks=1, reduced=True, t_total=QUARTERS)
 
@@ -222,7 +228,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         graph_stats, edges_per_timestamp, snapshot_window, timestamp_point_scan, base_stream_split, generate_windows, canonical_ranks, canonical_ranks_all, local_forest,
-        window_msf_online, window_msf_kway, msf_whole_graph, msf_boruvka, msf_weight_by_window, msf_components_by_window, msf_rejected_edges,
+        window_msf_online, window_msf_kway, msf_whole_graph, msf_boruvka, msf_weight_by_window, msf_components_by_window, msf_rejected_edges, msf_rejected_all,
         staircase_records, staircase_parallel, staircase_incremental, expiry_rectangles, mean_lifetime, mean_t_per_s, segment_nodes, quad_cover_histogram,
         strategy_differences, sliding_window_msf, dynamic_codes, sliding_operations, reinsert_sample, systematic_sample, simple_lightest_edges, adjacency_lists,
         bipartite_stream, undirected_distinct, time_extent, session_local_forest, supply_local_forest, forest_depth,
@@ -297,6 +303,8 @@ ORACLE_SQL: dict[str, str] = {
     "msf_components_by_window": f"with {_ONLINE} select window_id, {NATIONS} - count(msf.k) as n_components from w left join msf on k = window_id group by window_id",
     "msf_rejected_edges": f"""with {_LOCAL}, {_msf('msf', 'select 0 as k, src, dest, weight, ts from lf where ts between 0 and 5')}
 select src, dest, weight, ts from lf where ts between 0 and 5 except select src, dest, weight, ts from msf""",
+    "msf_rejected_all": f"""with {_LOCAL}, {_msf('msf', 'select 0 as k, src, dest, weight, ts from lf')}
+select src, dest, weight, ts from trade except select src, dest, weight, ts from msf""",
     "staircase_records": _STEPS,
     "staircase_parallel": _STEPS,
     "staircase_incremental": _STEPS,

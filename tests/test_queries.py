@@ -20,6 +20,7 @@ def test_dynamic_codes_are_consistent(spark):
 def test_whole_graph_queries_return_every_edge(spark):
     n = queries.graphs.trade(spark, LIGHT).count()
     assert queries.canonical_ranks_all(spark, LIGHT).count() == n
+    assert queries.msf_rejected_all(spark, LIGHT).count() == n - queries.msf_whole_graph(spark, LIGHT).count()
 
 
 def test_forests_have_the_size_that_their_components_leave(spark):
