@@ -180,6 +180,30 @@ def reinsert_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dynamic.reinsert_sample(base, order.systematic_sample(base, 60), NATIONS).select((F.col("before") == F.col("after")).alias("equal"))
 
 
+def _stream(edges: DataFrame) -> DataFrame:
+    """All edges as a stream, one graph for each destination's parity."""
+    seq = F.row_number().over(model.Window.partitionBy("graph_id").orderBy("ts", "weight", "src", "dest")).cast("bigint")
+    return edges.withColumn("graph_id", (F.col("dest") % 2).cast("bigint")).select("graph_id", seq.alias("seq"), F.col("ts").alias("t"), "src", "dest", "weight")
+
+
+def stream_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result codes of a replay of the whole edge stream in which edges slide out after four quarters."""
+    return dynamic.code_counts(dynamic.replay(dynamic.sliding_operations(_stream(graphs.trade(spark, sf_dir)), 4), NATIONS))
+
+
+def stream_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dynamic.sliding_operations(_stream(graphs.trade(spark, sf_dir)), 4)
+    return found.groupBy("graph_id", "op", "ts").agg(F.count("*").alias("n"), F.sum("weight").alias("sum_weight"))
+
+
+def stream_reinsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of all undirected edges is deleted and put back: is the forest's weight the same?"""
+    edges = graphs.trade(spark, sf_dir).select(F.least("src", "dest").alias("src"), F.greatest("src", "dest").alias("dest"), "weight", "ts").distinct()
+    edges = stored(edges, "undirected")
+    found = dynamic.reinsert_sample(edges, order.systematic_sample(edges, 60), NATIONS)
+    return found.select((F.col("before") == F.col("after")).alias("equal"), "n_sampled")
+
+
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.systematic_sample(graphs.trade(spark, sf_dir), 100)
 
@@ -230,7 +254,7 @@ QUERIES: dict[str, Query] = {
         graph_stats, edges_per_timestamp, snapshot_window, timestamp_point_scan, base_stream_split, generate_windows, canonical_ranks, canonical_ranks_all, local_forest,
         window_msf_online, window_msf_kway, msf_whole_graph, msf_boruvka, msf_weight_by_window, msf_components_by_window, msf_rejected_edges, msf_rejected_all,
         staircase_records, staircase_parallel, staircase_incremental, expiry_rectangles, mean_lifetime, mean_t_per_s, segment_nodes, quad_cover_histogram,
-        strategy_differences, sliding_window_msf, dynamic_codes, sliding_operations, reinsert_sample, systematic_sample, simple_lightest_edges, adjacency_lists,
+        strategy_differences, sliding_window_msf, dynamic_codes, sliding_operations, reinsert_sample, stream_codes, stream_operations, stream_reinsert, systematic_sample, simple_lightest_edges, adjacency_lists,
         bipartite_stream, undirected_distinct, time_extent, session_local_forest, supply_local_forest, forest_depth,
     )
 } | {f"window_msf_{s}": _by(s) for s in ("staircase", "sorted", "segment", "segment_start", "quadrant")}
@@ -332,6 +356,12 @@ select cast(k as int) as te, src, dest, weight, ts from msf""",
 m as (select graph_id, max(ts) as last from e group by graph_id)
 select cast(graph_id as bigint) as graph_id, 'insert' as op, ts, count(*) as n, cast(sum(weight) as bigint) as sum_weight from e group by all
 union all select cast(graph_id as bigint), 'delete', ts, count(*), cast(sum(weight) as bigint) from e join m using (graph_id) where ts + 4 < last group by all""",
+    "stream_operations": f"""with {_TRADE}, e as (select dest % 2 as graph_id, * from trade),
+m as (select graph_id, max(ts) as last from e group by graph_id)
+select cast(graph_id as bigint) as graph_id, 'insert' as op, ts, count(*) as n, cast(sum(weight) as bigint) as sum_weight from e group by all
+union all select cast(graph_id as bigint), 'delete', ts, count(*), cast(sum(weight) as bigint) from e join m using (graph_id) where ts + 4 < last group by all""",
+    "stream_reinsert": f"""with {_TRADE}, o as (select distinct least(src, dest) as src, greatest(src, dest) as dest, weight, ts from trade)
+select true as equal, least(60, count(*)) as n_sampled from o""",
     "reinsert_sample": "select true as equal",
     "systematic_sample": f"""with {_TRADE}, o as (select distinct least(src, dest) as src, greatest(src, dest) as dest, weight, ts from trade),
 n as (select *, row_number() over (order by src, dest, weight, ts) - 1 as i, greatest(1, count(*) over () // 100) as step from o)

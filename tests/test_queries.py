@@ -1,7 +1,11 @@
+import random
+
 import pytest
+from graphs_by_hand import kruskal
 
 import __spark_entry__ as entry_module
 from sylva import queries
+from sylva.streaming import dynamic
 
 LIGHT = "/root/testdata/sf0.001"
 
@@ -21,6 +25,25 @@ def test_whole_graph_queries_return_every_edge(spark):
     n = queries.graphs.trade(spark, LIGHT).count()
     assert queries.canonical_ranks_all(spark, LIGHT).count() == n
     assert queries.msf_rejected_all(spark, LIGHT).count() == n - queries.msf_whole_graph(spark, LIGHT).count()
+    codes = {(r.op, r.code): r.n for r in queries.stream_codes(spark, LIGHT).collect()}
+    assert sum(k for (op, _), k in codes.items() if op == "insert") == n
+    assert all(code >= 0 for _, code in codes) and codes["insert", dynamic.UNCHANGED] > 0 and codes["delete", dynamic.UNCHANGED] > 0
+
+
+def test_stream_codes_against_a_plain_replay(spark):
+    r = random.Random(4)
+    edges = sorted({(a, b, r.randrange(30), t) for t in range(9) for _ in range(14) for a, b in [r.sample(range(7), 2)]})
+    operations = dynamic.sliding_operations(queries._stream(spark.createDataFrame(edges, "src int, dest int, weight int, ts int")), 4)
+    expected, live, before = {}, {0: set(), 1: set()}, {0: set(), 1: set()}
+    for x in sorted(operations.collect(), key=lambda x: (x.graph_id, x.seq)):
+        e, g = (x.src, x.dest, x.weight, x.ts), x.graph_id
+        (live[g].add if x.op == "insert" else live[g].remove)(e)
+        after = set(kruskal(live[g]))
+        same, size = after == before[g], len(after) == len(before[g])
+        expected[g, x.seq] = dynamic.UNCHANGED if same else dynamic.REPLACED if size else dynamic.STRUCTURAL
+        before[g] = after
+    assert {(x.graph_id, x.seq): x.code for x in dynamic.replay(operations, 7).collect()} == expected
+    assert set(expected.values()) == {dynamic.UNCHANGED, dynamic.REPLACED, dynamic.STRUCTURAL}
 
 
 def test_forests_have_the_size_that_their_components_leave(spark):
