@@ -4,7 +4,8 @@ For every prefix of a pre-token exactly one token can stand last in its BPE enco
 over the bytes of all tokens gives the tokens that end at a position, the longest first; the first of
 them that is compatible with the last token of the prefix before it is that unique token. Following
 the last tokens back from the end gives the ids. Many pre-tokens are advanced together, one byte at a
-time, so that every step is a handful of numpy operations.
+time, so that every step is a handful of numpy operations; a long one with few companions is walked
+alone, in plain Python with a memory of the pairs tested.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -24,6 +26,8 @@ SPLIT = rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)
 #: Below this code point the classes are spelt out for the standard library's faster engine.
 LATIN_END = 0x250
 NONE = np.iinfo(np.int32).max
+#: A numpy step over a block costs about as much as walking this many bytes one by one.
+STEP_BYTES = 40
 
 
 def char_class(kinds: str) -> str:
@@ -78,22 +82,24 @@ class Ragged:
 
 
 class _Index(dict):
-    """Numbers pieces as they come; ``new`` has those not yet encoded."""
+    """Numbers pieces as they come; ``new`` has those not yet encoded, ``chars`` counts all characters held."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
+        self.chars += len(piece)
         self.new.append(piece)
         return n
 
 
 class PieceTable:
-    """Encodes each distinct piece once; holds ``limit`` pieces at most and then starts afresh."""
+    """Encodes each distinct piece once; starts afresh when it holds more than ``limit`` pieces or ``chars`` characters."""
 
-    def __init__(self, encode_pieces, known: dict[str, int] | None = None, limit: int = 400_000) -> None:
-        self.encode_pieces, self.known, self.limit = encode_pieces, known or {}, limit
+    def __init__(self, encode_pieces, known: dict[str, int] | None = None, limit: int = 400_000, chars: int = 16_000_000) -> None:
+        self.encode_pieces, self.known, self.limit, self.chars = encode_pieces, known or {}, limit, chars
         self._clear()
 
     def _clear(self) -> None:
@@ -104,7 +110,7 @@ class PieceTable:
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.index.chars > self.chars:
             self._clear()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         rows = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
@@ -141,6 +147,8 @@ class ByteBpe:
         self.n, self.pair_keys, self.pair_ranks = n, keys[order], ranks[order]
         self._automaton({i: self.bytes_of[i] for i in vocab.values() if i not in self.special.values()})
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
+        self._alone: tuple | None = None
+        self._tested: dict[int, bool] = {}
         self.text = Ragged(np.uint8)
         self.text.add(np.frombuffer(b"".join(self.bytes_of), np.uint8), self.length)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -201,6 +209,51 @@ class ByteBpe:
             a, b = np.where(on_left, self.right[a], a), np.where(on_left, b, self.left[b])
         return good
 
+    def _pair_test(self):
+        """``compatible`` for one pair of tokens, in plain Python."""
+        ranks, n = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True)), self.n
+        rank, left, right = self.rank.tolist(), self.left.tolist(), self.right.tolist()
+
+        def apart(a: int, b: int) -> bool:
+            limit = int(NONE)
+            while ranks.get(a * n + b, limit) >= limit:
+                ra, rb = rank[a], rank[b]
+                if ra < 0 and rb < 0:
+                    return True
+                if ra > rb:
+                    limit, a = ra, right[a]
+                else:
+                    limit, b = rb + 1, left[b]
+            return False
+
+        return apart
+
+    def _walk(self, word: bytes) -> np.ndarray:
+        """The ids of one word, by the same table of last tokens as in _encode_block."""
+        if self._alone is None:
+            self._alone = *(x.tolist() for x in (self.longest, self.shorter, self.length)), self._pair_test()
+        (longest, shorter, length, apart), tested, n = self._alone, self._tested, self.n
+        step, state, last = memoryview(self.step), 0, array("i", bytes(4 * len(word)))
+        for p, c in enumerate(word):
+            state = step[state, c]
+            token = longest[state]
+            while (before := p - length[token]) >= 0:
+                pair = last[before] * n + token
+                good = tested.get(pair)
+                if good is None:
+                    if len(tested) >= 1_000_000:
+                        tested.clear()
+                    good = tested[pair] = apart(last[before], token)
+                if good:
+                    break
+                token = shorter[token]
+            last[p] = token
+        out, at = array("I"), len(word) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= length[last[at]]
+        return np.array(out, np.uint32)[::-1]
+
     def _encode_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words of similar length, longest first. Their ids (right-aligned in a matrix) and counts."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -239,6 +292,12 @@ class ByteBpe:
             stop = i + 1
             while stop < len(order) and 2 * len(words[order[stop]]) > longest and (stop - i) * longest < 2_000_000:
                 stop += 1
+            if sum(len(words[k]) for k in order[i:stop]) < STEP_BYTES * longest:
+                for k in order[i:stop]:
+                    found = self._walk(words[k])
+                    parts[k], sizes[k] = found.tobytes(), len(found)
+                i = stop
+                continue
             out, count = self._encode_block([words[k] for k in order[i:stop]])
             for row, n, k in zip(out, count.tolist(), order[i:stop], strict=True):
                 parts[k] = row[len(row) - n :].tobytes()

@@ -26,7 +26,8 @@ def library_tokenizer(path: str):
 class ByteLevelIds:
     """Ids of a byte-level BPE file. Texts below U+0250 go through tiktoken with the same vocabulary
     and split pattern, which is several times as fast; others, whose character classes can depend on
-    a library's Unicode version, through the tokenizers library."""
+    a library's Unicode version, through the tokenizers library. So do texts that tiktoken's regular
+    expressions refuse, which are those with a run of about a million blanks."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -40,12 +41,15 @@ class ByteLevelIds:
         self.vocab_size = self.library.get_vocab_size()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [
-            np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint32)
-            if BEYOND_LATIN.search(x)
-            else self.fast.encode_to_numpy(x, allowed_special="all").astype(np.uint32, copy=False)
-            for x in texts
-        ]
+        return [self._one(x) for x in texts]
+
+    def _one(self, text: str) -> np.ndarray:
+        if not BEYOND_LATIN.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+            except ValueError:  # its expression engine ran out of stack
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class WordEndIds:

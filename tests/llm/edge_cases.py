@@ -2,6 +2,8 @@
 
 LONG = "word and more of it, again. " * 40_000
 TEXTS = [None, "", " \t\n ", "a", "naïve café — 日本語 ٣ 👩‍👩‍👧 ½", "<|endoftext|> b <|endoftext|>", "x" * 5000, "\n\n\n", "line one\r\nline two\n", "aaaa " * 300, LONG]
+#: Runs of blanks that regular expressions with backtracking can't take.
+BLANKS = [" " * 1_100_000, "\n" * 1_100_000 + "x", " \n\t" * 400_000, "a b" + "\r\n" * 600_000 + " end"]
 CLASHING = "doc_id bigint, text string, lang string, row string, n int, key string, id bigint, lines string, score string, piece string, node string, md5 string"
 
 

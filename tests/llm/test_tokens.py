@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import DATA
-from edge_cases import TEXTS, awkward, documents, empty
+from edge_cases import BLANKS, TEXTS, awkward, documents, empty
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,6 +63,42 @@ def library_cached(path):
     return _loaded[path]
 
 
+def test_runs_of_a_million_blanks():
+    for path in (BYTE, WORD):
+        for text in BLANKS:
+            assert library_ids(path).encode([text])[0].tolist() == library_cached(path).encode(text, add_special_tokens=False).ids
+    model, lib = byte_bpe(BYTE), library_cached(BYTE)
+    for text in BLANKS:
+        ids, counts = model.encode([text])
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and model.decode(ids, counts) == [text]
+
+
+def test_operators_take_runs_of_blanks(spark):
+    df, lib = documents(spark, BLANKS), {p: library_cached(p) for p in (BYTE, WORD)}
+    n = {p: [len(lib[p].encode(t, add_special_tokens=False).ids) for t in BLANKS] for p in lib}
+    packed = defaultdict(int)
+    for r in packing.pack(df, BYTE).collect():
+        packed[r.doc_id] += r.length
+    assert [packed[i] - 1 for i in range(len(BLANKS))] == n[BYTE]
+    assert [r.n_tokens - 1 for r in sorted(token_files.write_and_read(df, WORD, end_id=1).collect())] == n[WORD]
+    assert [r.n_tokens for r in sorted(tokenize.round_trip_digest(df, BYTE).collect())] == n[BYTE]
+
+
+def test_long_words_are_walked_as_the_library_does():
+    r, model, lib = random.Random(5), byte_bpe(BYTE), library_cached(BYTE)
+    for letters in ("acgt", "abcdefghijklmnopqrstuvwxyz", "éß字漢", "-=*"):
+        word = "".join(r.choice(letters) for _ in range(30_000))
+        ids, _ = model.encode([f"{word} {word[:77]}{word}"])
+        assert ids.tolist() == lib.encode(f"{word} {word[:77]}{word}", add_special_tokens=False).ids
+
+
+def test_the_table_of_pieces_is_bounded_by_characters():
+    model = byte_bpe(BYTE)
+    model.encode(["ab" * 9_000_000])
+    model.encode(["x"])
+    assert model.table.index.chars < 1000
+
+
 def test_every_token_and_any_ids_decode_as_in_the_library():
     model, lib = byte_bpe(BYTE), library_cached(BYTE)
     r = random.Random(1)
