@@ -36,18 +36,27 @@ def dedup_rows(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     """One row for each row of ``docs``: ``row`` (all its columns, in a struct), lines array<string>,
     kept array<string> (the lines that stay, in order).
 
-    A null text counts as one empty line. A row is a document: equal rows count apart, and all rows
-    with the largest id of a key keep its lines. Null ids are below all others. A very common key
-    meets its few counts in a join that adaptive execution can split; counting combines on the map
-    side first. Nothing is collected but a document's own line positions.
+    A null text counts as one empty line. Documents are counted by id: rows with one id, equal or
+    not, are one document, and all of them keep the lines of the keys whose largest id they have.
+    Rows without an id are one document too, below all others. An empty table gives an empty one;
+    columns are held in a struct, so any names will do.
+
+    Rows bound documents from above, so keys are first counted by row, which combines on the map side,
+    and only lines of keys in ``min_docs`` rows go on to the exact count. A very common key meets its
+    few counts in joins that adaptive execution can split. Nothing is collected but a document's own
+    line positions.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), text.alias("text"))
     hashed = stored(source.select("id", F.xxhash64("text").alias("of"), _hashes(F.col("text"), min_chars).alias("keys")), "line-keys")
     once = hashed.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-    common = once.groupBy("key.h", "key.g").agg(F.count("*").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs)
-    common = stored(common, "common-lines")  # so that the join below can split a very common key
+    rows = once.groupBy("key.h", "key.g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
+    rows = stored(rows, "common-rows")  # stored, so that the joins below can split a very common key
     each = hashed.select("id", "of", F.posexplode("keys").alias("at", "key")).where("key is not null").select("id", "of", "at", "key.h", "key.g")
+    each = stored(each.join(rows, ["h", "g"]), "common-places")
+    holders = each.select("h", "g", "id").distinct()
+    common = holders.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs)
+    common = stored(common.select("h", "g", "owner"), "common-lines")
     lost = each.join(common, ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
     drops = lost.groupBy(F.col("id").alias("drop_id"), F.col("of").alias("drop_of")).agg(F.collect_list("at").alias("drop"))
     same = F.col("id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_of"))

@@ -78,18 +78,18 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""
-with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+with docs as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 lines as (
-  select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from docs),
+  select r, doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from docs),
 keyed as (
   select *, translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
 common as (
-  select k, max(doc_id) as owner from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+  select k, max(doc_id) as owner from keyed where length(k) >= 40 group by k having count(distinct doc_id) + max(cast(doc_id is null as int)) >= 5),
 marked as (
-  select keyed.*, common.k is not null and doc_id <> owner as lost from keyed left join common using (k))
+  select keyed.*, common.k is not null and doc_id is distinct from owner as lost from keyed left join common using (k))
 select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
-from marked group by doc_id""",
+from marked group by r, doc_id""",
     "op8_exact_top_k": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings

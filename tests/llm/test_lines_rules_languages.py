@@ -49,10 +49,21 @@ def test_line_dedup_of_awkward_tables(spark):
     df = awkward(spark)
     kept = line_dedup.dedup(df, min_docs=1000)
     assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
-    shared = "a line that all these documents have in common"
-    ids = [1, 2, 2, 3, 3, None]
-    same = spark.createDataFrame([(i, shared) for i in ids], "doc_id bigint, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup(same).collect()) == [(0, ""), (1, ""), (2, ""), (2, ""), (3, shared), (3, shared)]
+
+
+def test_documents_are_counted_by_id(spark):
+    import duckdb
+
+    a, b = "a line that all these documents have in common", "another line, as long, that some of them have too"
+    for ids, lost in (([1, 1, 2, 2, 3, 3], []), ([1, 2, 2, 3, 3, None], []), ([1, 2, 2, 3, 4, 4, None], [None, 1, 2, 2, 3]), ([7, 7, 7, 7, 8], [])):
+        rows = [(i, a if k % 2 else f"{a}\n{b} {k % 3}") for k, i in enumerate(ids)]
+        same = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = line_dedup.digest(same).collect()
+        assert sorted((r.doc_id for r in found if r.n_dropped), key=lambda x: x or 0) == lost
+        with duckdb.connect() as c:
+            c.execute("create table documents (doc_id bigint, text varchar)")
+            c.executemany("insert into documents values (?, ?)", rows)
+            assert sorted(map(tuple, found), key=repr) == sorted(c.execute(queries.ORACLE_SQL["op2_line_dedup"]).fetchall(), key=repr)
 
 
 def plain_measures(text):
