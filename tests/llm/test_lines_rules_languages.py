@@ -94,7 +94,7 @@ def test_rules_keep_prose_and_reject_junk(spark):
     assert [r.doc_id for r in quality_rules.keep(df).collect()] == [0]
     text = quality_rules.F.coalesce(df.text, quality_rules.F.lit(""))
     for rule in quality_rules.RULES:
-        hit = df.where(rule.reject(quality_rules.measures(text))).collect()
+        hit = df.where(quality_rules.bound(text, rule.needs, rule.reject)).collect()
         assert names.index(rule.name) + 1 in {r.doc_id for r in hit} and 0 not in {r.doc_id for r in hit}
 
 
@@ -103,10 +103,23 @@ def test_the_order_of_rules_follows_rejections_per_cost_and_changes_no_result(sp
     order = quality_rules.ordered(df)
     assert sorted(r.name for r in order) == sorted(r.name for r in quality_rules.RULES)
     assert order[0].name in ("too_short", "shouting")
-    first = quality_rules.first_rejection(list(reversed(order)), quality_rules.measures(df.text))
+    first = quality_rules.first_rejection(list(reversed(order)), df.text)
     assert df.where(first.isNull()).count() == quality_rules.keep(df).count() == 0
 
 
+def test_a_rule_that_shares_known_measures_comes_before_one_that_does_not(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    order = [r.name for r in quality_rules.ordered(docs)]
+    assert order.index("word_length") - order.index("too_short") != 0
+    texts = [r.text for r in docs.select("text").collect()]
+    every = quality_rules.judge(docs).where("kept").count()
+    assert every == quality_rules.keep(docs).count() and len(texts) == docs.count()
+    for k in range(3):
+        shuffled = random.Random(k).sample(order, len(order))
+        rules = sorted(quality_rules.RULES, key=lambda r: shuffled.index(r.name))
+        assert docs.where(quality_rules.first_rejection(rules, quality_rules.F.coalesce("text", quality_rules.F.lit(""))).isNull()).count() == every
+
+
 def test_rules_on_awkward_tables(spark):
     df = awkward(spark)
     assert quality_rules.judge(df).count() == df.count()
