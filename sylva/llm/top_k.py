@@ -1,29 +1,38 @@
 """Exact top-k search by inner product with vector-approximation files (operator 8).
 
-Every component is quantised to one of 256 cells of its dimension. A scan over the cells alone gives
-each candidate a lower and an upper bound of its score; exact vectors are then read in the order of
-their upper bounds until the k-th best exact score is no less than the next bound.
+Every component is quantised to one of 256 cells of its dimension, and the cells, a byte a dimension,
+are written to files of their own. A scan over these alone gives each candidate a lower and an upper
+bound of its score for every query; a candidate whose upper bound is below the k-th lower bound of its
+query is out. Exact vectors are then read in the order of the bounds: first those of the k best upper
+bounds of each query, then those whose upper bound is no less than the k-th exact score found.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import new_folder, stored
 
 SCALE = 1024
 CELLS = 256
-#: Queries go out in blocks of at most this many vectors, whose size is thereby bounded; each block scans all candidates.
-QUERY_BLOCK = 8192
-_ROWS, _QUERIES = 4096, 256
+#: A file of query vectors holds at most this many; a task has one file of them in memory at a time.
+QUERY_BLOCK = 4096
+#: A task looks at this many rows of cells at a time, and at this many queries of a block.
+CHUNK, QUERIES = 32_768, 128
+#: Up to this many vectors to read are broadcast by their ids (about 50 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+_BOUNDS = "query_id bigint, vec_id bigint, lower double, upper double"
 
 
-def _vectors(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _by_length(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: the places in the batch of the vectors of that length, and their scaled whole components."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
@@ -35,10 +44,12 @@ def _vectors(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whole inner products. Where doubles might round, in 64-bit integers (components beyond 2**62 are no input)."""
-    most = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(rows).max(initial=0)) * max(1, rows.shape[-1])
-    return (rows @ queries).astype(np.int64) if most < 2**53 else rows.astype(np.int64) @ queries.astype(np.int64)
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row the whole inner products. Where doubles might round, in 64-bit integers (components beyond 2**62 are no input)."""
+    most = max(1.0, np.abs(a).max(initial=0)) * max(1.0, np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most < 2**53:
+        return (a * b).sum(1).astype(np.int64)
+    return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
 
 
 class Cells:
@@ -50,55 +61,30 @@ class Cells:
     def codes(self, rows: np.ndarray) -> np.ndarray:
         return np.clip((rows - self.low) / self.width, 0, CELLS - 1).astype(np.uint8)
 
-    def middles(self, codes: np.ndarray) -> np.ndarray:
-        return self.low + (codes + 0.5) * self.width
-
-    def radius(self, queries: np.ndarray) -> np.ndarray:
-        """How far a score can lie from that of the cells' middles, and a little for rounding."""
-        reach = np.abs(queries) @ (self.width / 2)
-        return reach * (1 + 1e-6) + 1e-9 * (np.abs(queries) @ (np.abs(self.low) + CELLS * self.width)) + 1e-6
-
-
-class Best:
-    """The k best (score, vec_id) of one query so far; a vec_id counts once, with its best score."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.ids, self.scores = k, np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def least(self) -> float:
-        return float(self.scores[-1]) if len(self.scores) == self.k else -np.inf
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
-        order = np.lexsort((ids, -scores))
-        ids, scores = ids[order], scores[order]
-        first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
-        self.ids, self.scores = ids[first], scores[first]
-
-
-def scan(best: list[Best], query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, cells: Cells) -> None:
-    """Take one block of candidates into account for every query."""
-    middles = cells.middles(cells.codes(rows))
-    radius = cells.radius(queries)
-    for a in range(0, len(queries), _QUERIES):
-        near = queries[a : a + _QUERIES] @ middles.T
-        for i, scores in enumerate(near, a):
-            upper = scores + radius[i]
-            own = ids == query_ids[i]
-            floor = best[i].least()
-            k = best[i].k
-            # distinct ids are what count, so only then does the k-th lower bound of the block bound the k-th score
-            if len(upper) - own.sum() > k and len(np.unique(ids)) == len(ids):
-                lower = np.where(own, -np.inf, scores - radius[i])
-                floor = max(floor, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-            left = np.flatnonzero((upper >= floor) & ~own)
-            left = left[np.argsort(-upper[left], kind="stable")]
-            step = 4 * k
-            for at in range(0, len(left), step):
-                if upper[left[at]] < best[i].least():
-                    break
-                some = left[at : at + step]
-                best[i].add(ids[some], _exact(queries[i], rows[some]))
+    def bounds(self, queries: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of the cells' middles, a row a query, and how far a score can lie from them.
+
+        The product is of single floats; its rounding, at most n times 2**-24 of the sum of the
+        products' sizes, is in the radius.
+        """
+        scaled = queries * self.width
+        middle = (scaled.astype(np.float32) @ codes.T.astype(np.float32)).astype(np.float64) + (queries @ (self.low + self.width / 2))[:, None]
+        size = np.abs(scaled).sum(1)
+        rounding = (queries.shape[1] + 2) * 2.0**-23 * CELLS * size + 1e-9 * (np.abs(queries) @ (np.abs(self.low) + CELLS * self.width)) + 1e-6
+        return middle, size / 2 * (1 + 1e-6) + rounding
+
+
+def survivors(middle: np.ndarray, radius: np.ndarray, own: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places whose upper bound reaches the k-th lower bound of the query.
+
+    ``own`` marks what is no candidate of the query, ``first`` has one place for each distinct id, as
+    k lower bounds count only if they are of different ids.
+    """
+    lower = np.where(own, -np.inf, middle - radius[:, None])[:, first]
+    floor = np.full(len(middle), -np.inf)
+    if lower.shape[1] > k:
+        floor = np.partition(lower, -k, axis=1)[:, -k]
+    return np.nonzero((middle + radius[:, None] >= floor[:, None]) & ~own)
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -107,31 +93,35 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     Vectors that are null or have a null or non-finite component, and rows with a null id, take no
     part; empty vectors score 0 with each other; vectors of different lengths are not compared.
     Ties go to the smaller id. Of rows with one id, a query is the least vector, and a candidate
-    counts once with its best score. An empty table gives an empty table.
+    counts once with its best score. Other columns are not read. An empty table gives an empty table.
     """
-    spark = vectors.sparkSession
-    real = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
+    real = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & real)
-    cells = _cells(rows)
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n = queries.count()
-    blocks = max(1, -(-n // (QUERY_BLOCK // 2)))  # by hash: blocks of half the bound, so that none goes beyond it
-    found = [stored(_block(spark, rows, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), cells, k), "top-k") for b in range(blocks)]
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
-    once = merged.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _cells(rows: DataFrame) -> dict[int, Cells]:
+    cells = _ranges(rows)
+    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    found = stored(scan(approximation(rows, cells), queries, cells, k), "bounds")
+
+    best = found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    mine = Window.partitionBy("query_id")
+    best = best.withColumn("nth", F.row_number().over(mine.orderBy(F.desc("lower"), "vec_id")))
+    best = best.withColumn("floor", F.max(F.when(F.col("nth") == k, F.col("lower"))).over(mine)).where("floor is null or upper >= floor")
+    left = best.withColumn("place", F.row_number().over(mine.orderBy(F.desc("upper"), "vec_id"))).select("query_id", "vec_id", "upper", "place")
+    left = stored(left, "left")
+    scored = stored(exact(left.where(F.col("place") <= k), rows, queries), "exact")
+    least = scored.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+    open_ = left.where(F.col("place") > k).join(least, "query_id", "left").where("least is null or upper >= least")
+    more = exact(stored(open_.select("query_id", "vec_id"), "open"), rows, queries)
+    place = F.row_number().over(mine.orderBy(F.desc("score"), "vec_id"))
+    return scored.unionByName(more).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranges(rows: DataFrame) -> dict[int, Cells]:
     """The least and greatest component of each dimension over all vectors: one row a dimension comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, (_, x) in _vectors(batch.column(0)).items():
+            for n, (_, x) in _by_length(batch.column(0)).items():
                 low, high = (x.min(0), x.max(0)) if n else (np.zeros(1), np.zeros(1))
                 m = max(1, n)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(low), pa.array(high)], ["n", "at", "low", "high"])
@@ -144,21 +134,97 @@ def _cells(rows: DataFrame) -> dict[int, Cells]:
     return {n: Cells(*(np.array(x)[:n] for x in zip(*v, strict=True))) for n, v in by.items()}
 
 
-def _block(spark: SparkSession, rows: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
-    block = [(r["vec_id"], np.array(r["vector"], np.float64)) for r in queries.collect()]  # at most QUERY_BLOCK vectors
-    by_size = {n: [(i, np.floor(SCALE * v)) for i, v in block if len(v) == n] for n in {len(v) for _, v in block}}
-    sent = spark.sparkContext.broadcast({n: (np.array([i for i, _ in x]), np.array([v for _, v in x]).reshape(len(x), n)) for n, x in by_size.items()})
+def approximation(rows: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """The approximation file: (n, ids, codes), up to CHUNK vectors of n components a row, ids and cells as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: [Best(k) for _ in ids] for n, (ids, _) in sent.value.items()}
+        held: dict[int, list] = {}
+
+        def flush(n: int) -> pa.RecordBatch:
+            ids, codes = (np.concatenate(x) for x in zip(*held.pop(n), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([codes.tobytes()])], ["n", "ids", "codes"])
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for n, (at, x) in _vectors(batch.column(1)).items():
-                for a in range(0, len(at), _ROWS) if n in best else ():
-                    scan(best[n], *sent.value[n], ids[at[a : a + _ROWS]], x[a : a + _ROWS], cells[n])
-        for n, (ids, _) in sent.value.items():
-            sizes = [len(b.ids) for b in best[n]]
-            arrays = [np.repeat(ids, sizes), np.concatenate([b.ids for b in best[n]]), np.concatenate([b.scores for b in best[n]])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+            for n, (at, x) in _by_length(batch.column(1)).items():
+                for a in range(0, len(at), CHUNK):
+                    held.setdefault(n, []).append((ids[at[a : a + CHUNK]], cells[n].codes(x[a : a + CHUNK])))
+                    if sum(len(i) for i, _ in held[n]) >= CHUNK // 2:
+                        yield flush(n)
+        for n in list(held):
+            yield flush(n)
+
+    return stored(rows.mapInArrow(run, "n int, ids binary, codes binary"), "cells")
+
+
+def _query_files(queries: DataFrame) -> list[str]:
+    """The queries in files of at most QUERY_BLOCK vectors in the shared folder; returns the paths.
+
+    Names are of one attempt each, and only those that the job reports are read.
+    """
+    folder = new_folder(queries.sparkSession, "query-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERY_BLOCK):
+                path = f"{folder}/{uuid.uuid4().hex}.parquet"
+                store, name = _filesystem(path)
+                store.create_dir(name.rpartition("/")[0])
+                pq.write_table(pa.Table.from_batches([batch.slice(a, QUERY_BLOCK)]), name, filesystem=store)
+                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    return [r["path"] for r in stored(queries.mapInArrow(run, "path string"), "query-files").collect()]  # a path a block
+
+
+def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def scan(approximated: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
+    """(query_id, vec_id, lower, upper) of the candidates that their chunk's bounds don't rule out.
+
+    Every row of cells is read once and meets all queries, file by file, so a task's memory does not
+    grow with the queries.
+    """
+    paths = _query_files(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: tuple[str, dict] = ("", {})
+        for batch in batches:
+            for n, ids, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(ids, "<i8")
+                codes = np.frombuffer(codes, np.uint8).reshape(len(ids), n)
+                first = np.unique(ids, return_index=True)[1]
+                for path in paths:
+                    if loaded[0] != path:
+                        store, name = _filesystem(path)
+                        table = pq.read_table(name, filesystem=store).combine_chunks().to_batches()[0]
+                        loaded = path, {m: (table.column(0).to_numpy()[at], x) for m, (at, x) in _by_length(table.column(1)).items()}
+                    numbers, asked = loaded[1].get(n, (np.empty(0, np.int64), np.empty((0, n))))
+                    for a in range(0, len(numbers), QUERIES):
+                        of = numbers[a : a + QUERIES]
+                        middle, radius = cells[n].bounds(asked[a : a + QUERIES], codes)
+                        q, c = survivors(middle, radius, of[:, None] == ids[None, :], first, k)
+                        near = middle[q, c]
+                        yield pa.RecordBatch.from_arrays([pa.array(of[q]), pa.array(ids[c]), pa.array(near - radius[q]), pa.array(near + radius[q])], ["query_id", "vec_id", "lower", "upper"])
+
+    return approximated.mapInArrow(run, _BOUNDS)
+
+
+def exact(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of the stored pairs; of the exact vectors only those of their candidates leave the scan."""
+    ids = stored(pairs.select("vec_id").distinct(), "read-ids")
+    few = ids.count() <= BROADCAST_IDS
+    read = stored(rows.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi"), "read")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    both = pairs.select("query_id", "vec_id").join(read, "vec_id").join(asked, "query_id").where(F.size("query") == F.size("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (at, x) in _by_length(batch.column(2)).items():
+                place = pa.array(at)
+                score = _products(x, _by_length(batch.column(3).take(place))[n][1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    scores = both.select("query_id", "vec_id", "vector", "query").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

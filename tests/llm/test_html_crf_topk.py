@@ -151,3 +151,28 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     r = random.Random(8)
     rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(1500)]
     assert sorted(map(tuple, top_k.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect())) == plain_top(rows)
+
+
+def test_vectors_with_clashing_columns_of_mixed_size_and_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(top_k, "CHUNK", 64)
+    r = random.Random(9)
+    rows = [(i, [r.choice([-1e3, -1.0, 0.0, 1e-3, 1e6]) for _ in range(r.choice([3, 4]))]) for i in range(900)]
+    made = [(*x, 1, "v", 2.0, [1.0], 3, "n") for x in rows]
+    df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>, query_id int, codes string, score double, vector array<double>, place int, ids string")
+    found = sorted(map(tuple, top_k.search(df).collect()))
+    assert found == plain_top(rows)
+
+
+def test_bounds_hold_and_few_exact_vectors_are_read(spark):
+    x = np.floor(1024 * np.random.default_rng(3).uniform(-1, 1, (2000, 24)))
+    cells = top_k.Cells(x.min(0), x.max(0))
+    middle, radius = cells.bounds(x[:40], cells.codes(x))
+    score = x[:40] @ x.T
+    assert (np.abs(score - middle) <= radius[:, None]).all()
+    own = np.arange(40)[:, None] == np.arange(2000)[None, :]
+    q, c = top_k.survivors(middle, radius, own, np.arange(2000), 10)
+    assert len(q) < 40 * 60
+    for i in range(40):
+        best = np.argsort(np.where(own[i], -np.inf, score[i]))[-10:]
+        assert set(best.tolist()) <= set(c[q == i].tolist())
