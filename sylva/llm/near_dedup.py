@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Up to this many documents to verify are broadcast by their 16-byte digests (about 50 MB); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: A shingle of more documents than this is joined by ranges of their sizes.
+FREQUENT = 100
 #: Up to this many links are labelled in one task (a few hundred MB); more by rounds of joins.
 LOCAL_EDGES = 2_000_000
 
@@ -277,21 +279,58 @@ def _prefix_pairs(prefix: DataFrame, roots: DataFrame, similarity: float) -> Dat
     """Candidate pairs (a, b) of different components: every such pair that reaches the similarity is there.
 
     Position filter (Xiao et al., 2008): a common shingle at places p and q leaves room for
-    min(n - p, m - q) in common, and for the first one that must be enough. Rare shingles come first,
-    so edits that a document has for itself use up its prefix, and a large group of copies yields few
-    pairs. Of a shingle's documents, those in its most common component are only met by the others.
+    min(n - p, m - q) in common, and for the first one that must be enough. So each place bounds the
+    size of a partner from above, by ``most``, and of two documents the smaller one needs most >= n.
+    Rare shingles come first, so what a document has for itself, or with few others, uses up its
+    prefix: documents that share a frequent passage and fall short of the similarity have no room left
+    when they come to it. Of a shingle's documents, those in its most common component are only met by
+    the others. A shingle of few documents is joined as it is. For one of many the sizes that the
+    larger document accepts are cut into dyadic ranges, and the pair meets at the range that holds
+    the smaller one's size, so that only pairs within the bound are formed.
     """
     t = F.lit(similarity)
     prefix = stored(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    common = prefix.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("m"))
-    dealt = prefix.join(stored(common.select("s", F.col("m.root").alias("common")), "common"), "s")
-    dealt = stored(dealt.select("s", "node", "root", "n", "p", (F.col("root") != F.col("common")).alias("minor")), "dealt")
-    x, y = dealt.where("minor").alias("x"), dealt.alias("y")
-    c = F.col
-    once = ~c("y.minor") | (c("x.node") < c("y.node"))
-    room = F.least(c("x.n") - c("x.p"), c("y.n") - c("y.p")) * (1 + t) >= t * (c("x.n") + c("y.n")) - 1e-9
-    met = x.join(y, (c("x.s") == c("y.s")) & (c("x.root") != c("y.root")) & once & room)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    counts = prefix.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"))
+    counts = counts.where("all > m.k").select("s", F.col("m.root").alias("common"), (F.col("all") > FREQUENT).alias("frequent"))
+    most = F.floor((F.col("n") - F.col("p")) * (1 + t) / t + 1e-6).cast("int") - F.col("n")
+    dealt = prefix.join(stored(counts, "common"), "s").withColumn("most", most)
+    dealt = stored(dealt.select("s", "node", "root", "n", "most", (F.col("root") != F.col("common")).alias("minor"), "frequent"), "dealt")
+    # the larger document is x; of two equal sizes, the one with the larger number
+    x, y = (dealt.select(*(F.col(c).alias(f"{c}_{side}") for c in dealt.columns)) for side in ("x", "y"))
+    y = y.where("most_y >= n_y")
+    fits = (F.col("root_x") != F.col("root_y")) & (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & (F.col("n_y") >= t * F.col("n_x") - 1e-9)
+    fits = fits & ((F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))) & (F.col("minor_x") | F.col("minor_y"))
+    few = x.where("not frequent_x").join(y.where("not frequent_y"), (F.col("s_x") == F.col("s_y")) & fits)
+    x, y = x.where("frequent_x"), y.where("frequent_y")
+    low, high = F.ceil(t * F.col("n_x") - 1e-9).cast("int"), F.least("n_x", "most_x")
+    x = x.where(low <= high).withColumn("at_x", F.explode(_ranges(low, high + 1)))
+    # a range is no longer than (1 - t) n for the larger and so (1 - t) / t n for the smaller document
+    y = y.withColumn("at_y", F.explode(_above("n_y", (1 - t) / t * F.col("n_y") + 1)))
+    same = (F.col("s_x") == F.col("s_y")) & (F.col("at_x") == F.col("at_y"))
+    many = [a.join(b, same & fits) for a, b in ((x.where("minor_x"), y), (x.where("not minor_x"), y.where("minor_y")))]
+    pair = F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")
+    return few.select(*pair).unionByName(many[0].select(*pair)).unionByName(many[1].select(*pair)).distinct()
+
+
+def _level(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("int")
+
+
+def _ranges(low: Column, end: Column) -> Column:
+    """The dyadic ranges, as structs (level, pos), whose union is [low, end)."""
+
+    def at(level: Column) -> Column:
+        size = _level(level)
+        a, b = F.ceil(low / size).cast("int"), F.floor(end / size).cast("int")
+        left, right = F.when((a < b) & (a % 2 == 1), a), F.when((a < b) & (b % 2 == 1), b - 1)
+        return F.transform(F.array_distinct(F.array_compact(F.array(left, right))), lambda p: F.struct(level.alias("level"), p.alias("pos")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(end - low)).cast("int")), at))
+
+
+def _above(point: str, longest: Column) -> Column:
+    """The dyadic ranges that hold the point, up to the given length and one more for rounding."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(longest)).cast("int") + 1), lambda level: F.struct(level.alias("level"), F.floor(F.col(point) / _level(level)).cast("int").alias("pos")))
 
 
 def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, similarity: float) -> DataFrame:

@@ -100,7 +100,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & real)
     cells = _ranges(rows)
     queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    found = stored(scan(approximation(rows, cells), queries, cells, k), "bounds")
+    found = scan(approximation(rows, cells), queries, cells, k)
 
     best = found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
     mine = Window.partitionBy("query_id")
@@ -215,7 +215,7 @@ def exact(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, vec_id, score) of the stored pairs; of the exact vectors only those of their candidates leave the scan."""
     ids = stored(pairs.select("vec_id").distinct(), "read-ids")
     few = ids.count() <= BROADCAST_IDS
-    read = stored(rows.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi"), "read")
+    read = rows.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     both = pairs.select("query_id", "vec_id").join(read, "vec_id").join(asked, "query_id").where(F.size("query") == F.size("vector"))
 

@@ -115,6 +115,45 @@ def test_near_copies_with_repeated_passages(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, docs)).collect()} == expected
 
 
+def template_texts(r, n=160):
+    """Families of documents with frequent passages and parts of their own, on both sides of the similarity."""
+    common = [f"c{i}" for i in range(140)]
+    other = common[:70] + [f"d{i}" for i in range(70)]
+    return [" ".join(r.choice([common, common, other]) + [f"o{i}x{k}" for k in range(r.choice([0, 4, 8, 11, 12, 13, 14, 15, 16, 17, 20, 30, 36]))]) for i in range(n)]
+
+
+@pytest.mark.parametrize("frequent", [2, 10**9])
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_templates_by_every_way_of_joining(spark, monkeypatch, frequent, broadcast):
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(near_dedup, "BROADCAST_NODES", broadcast)
+    docs = template_texts(random.Random(frequent))
+    expected = brute(list(enumerate(docs)))
+    assert 10 < len(set(expected.values())) < len(docs)
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, docs)).collect()} == expected
+
+
+def test_ranges_cover_sizes_once(spark):
+    F = near_dedup.F
+    spans = spark.createDataFrame([(a, a + w, 0.25 * (a + w) + 1) for a in (1, 2, 7, 64, 125, 999) for w in (1, 2, 3, 16, 31, 33)], "a int, b int, c double")
+    found = spans.withColumn("at", F.explode(near_dedup._ranges(F.col("a"), F.col("b")))).collect()
+    for a, b in {(r.a, r.b) for r in found}:
+        held = [p for r in found if (r.a, r.b) == (a, b) for p in range(r["at"].pos << r["at"].level, (r["at"].pos + 1) << r["at"].level)]
+        assert sorted(held) == list(range(a, b))
+    above = spark.createDataFrame([(13, 4.0)], "n int, c double").select(near_dedup._above("n", F.col("c")).alias("x")).first().x
+    assert [tuple(v) for v in above] == [(0, 13), (1, 6), (2, 3), (3, 1)]
+
+
+def test_a_frequent_passage_makes_no_pairs(spark, monkeypatch):
+    """Documents of one template, none near another: the joins form no pairs, whatever their number."""
+    common, made = [f"c{i}" for i in range(140)], []
+    real = near_dedup._prefix_pairs
+    monkeypatch.setattr(near_dedup, "_prefix_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    docs = [" ".join(common + [f"o{i}x{k}" for k in range(20)]) for i in range(400)]
+    assert {x.class_size for x in near_dedup.classes(documents(spark, docs)).collect()} == {1}
+    assert len(made) == 1 and made[0].count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 300), (300, 250)]
