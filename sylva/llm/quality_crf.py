@@ -3,7 +3,12 @@
 Every line is good or bad. Its score depends on features of the line and of its neighbours, and a
 transition score joins the labels of adjacent lines. Forward-backward gives each line's probability
 of being good; their mean, weighted by line length, is calibrated to the document's score.
-Lines have no labels of their own: in learning, a line has its document's.
+
+Lines have no labels of their own; they are latent. A document's label says how much of it, by length,
+is good: at least GOOD_SHARE of a good one and at most BAD_SHARE of a bad one. Learning starts from
+what lines look like by themselves and then alternates (expectation maximisation with posterior
+constraints, Ganchev et al., 2010): line probabilities are the chain's, moved as little as meets the
+share, and the chain is fitted to them.
 """
 
 from __future__ import annotations
@@ -19,8 +24,12 @@ from pyspark.sql import functions as F
 from .common import slices
 from .near_dedup import _BASE, _BYTE, _powers_to, mix, word_hashes
 
-#: Learning uses at most about this many labelled documents, and of them those up to this many characters.
-FIT_DOCS, FIT_CHARS = 4000, 20_000
+#: Learning uses at most about this many labelled documents, in the order of a hash, up to this many characters in all (and LINE_COST for each line).
+FIT_DOCS, FIT_CHARS, LINE_COST = 4000, 10_000_000, 100
+#: How much of a document's text, by length, its label says is good: no less in a good one, no more in a bad one.
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
+#: Rounds of expectation and maximisation.
+EM_ROUNDS = 3
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "mark": b"#*$%&<>@^~_=+\\{}", "pipe": b"|",
     "shout": b"!", "stop": b".,;:?'\"-()", "space": b" \t\r\v\f", "wide": bytes(range(0xC0, 0x100)), "rest": bytes(range(0x80, 0xC0)),
@@ -96,10 +105,14 @@ class Crf:
     def unary(self, features: np.ndarray) -> np.ndarray:
         return (features - self.mean) / self.scale @ self.weights + self.bias
 
+    def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all lines of all texts the probability of being good and the length, and how many lines each text has."""
+        features, lengths, per_text = line_features(texts)
+        return forward_backward(self.unary(features), per_text, self.change)[0], lengths, per_text
+
     def score(self, texts: list[str]) -> np.ndarray:
         """A number from 0 to 1 for each text, higher for a likelier good one."""
-        features, lengths, per_text = line_features(texts)
-        good, _, _ = forward_backward(self.unary(features), per_text, self.change)
+        good, lengths, per_text = self.lines(texts)
         return sigmoid(self.slope * pooled(good, lengths, per_text) + self.offset)
 
 
@@ -128,7 +141,10 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, change: np.ndarray
     emit = np.stack([np.exp(-shift), np.exp(unary - shift)], axis=1)
     ahead, scale = np.empty_like(emit), np.empty(len(unary))
     state = np.ones((len(counts), 2))
-    for t, n in enumerate(running):
+    alone = int(np.searchsorted(-running, -1, "left"))  # from this line on, one text is left
+    if len(running) - alone < 64:
+        alone = len(running)
+    for t, n in enumerate(running[:alone]):
         at = begins[:n] + t
         state = (state[:n] @ kernel if t else state[:n]) * emit[at]
         scale[at] = total = state.sum(1)
@@ -136,7 +152,9 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, change: np.ndarray
         ahead[at] = state
     behind = np.ones_like(emit)
     pairs = np.zeros((2, 2))
-    for t in range(len(running) - 1, 0, -1):
+    if alone < len(running):
+        _long_tail(slice(begins[0] + alone, begins[0] + len(running)), alone > 0, emit, kernel, ahead, behind, scale, pairs)
+    for t in range(alone - 1, 0, -1):
         n = running[t]
         at = begins[:n] + t
         follow = emit[at] * behind[at] / scale[at][:, None]
@@ -147,26 +165,80 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, change: np.ndarray
     return good, pairs, float(np.log(scale).sum() + shift.sum() + change.max() * (per_text - 1).sum())
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, decay: float = 1.0, rounds: int = 80) -> Crf:
-    """Maximum likelihood with a squared penalty, by L-BFGS; then the two calibration numbers by Newton steps."""
+def _long_tail(lines: slice, has_before: bool, emit: np.ndarray, kernel: np.ndarray, ahead: np.ndarray, behind: np.ndarray, scale: np.ndarray, pairs: np.ndarray) -> None:
+    """Both passes over the lines that only the longest text has, one by one in plain Python, into the arrays given."""
+    (k00, k01), (k10, k11) = kernel.tolist()
+    own, first = emit[lines].tolist(), lines.start
+    a0, a1 = ahead[first - 1].tolist() if has_before else (0.0, 0.0)
+    forth, totals = [], []
+    for i, (e0, e1) in enumerate(own):
+        s0, s1 = ((a0 * k00 + a1 * k10) * e0, (a0 * k01 + a1 * k11) * e1) if i or has_before else (e0, e1)
+        total = s0 + s1
+        a0, a1 = s0 / total, s1 / total
+        forth.append((a0, a1))
+        totals.append(total)
+    ahead[lines], scale[lines] = forth, totals
+    b0 = b1 = 1.0
+    back = [(b0, b1)]
+    p00 = p01 = p10 = p11 = 0.0
+    before = [ahead[first - 1].tolist() if has_before else None, *forth]
+    for i in range(len(own) - 1, -1 if has_before else 0, -1):
+        f0, f1 = own[i][0] * b0 / totals[i], own[i][1] * b1 / totals[i]
+        x0, x1 = before[i]
+        p00, p01, p10, p11 = p00 + x0 * k00 * f0, p01 + x0 * k01 * f1, p10 + x1 * k10 * f0, p11 + x1 * k11 * f1
+        b0, b1 = f0 * k00 + f1 * k01, f0 * k10 + f1 * k11
+        back.append((b0, b1))
+    begin = first - 1 if has_before else first
+    behind[begin : lines.stop] = back[::-1]
+    pairs += [[p00, p01], [p10, p11]]
+
+
+def constrained(unary: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, change: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line probabilities and expected pairs of the distribution nearest to the chain's whose shares fit the labels.
+
+    It is the chain with every line's score moved by its share of the text's length times a number of
+    the text, which bisection finds for all texts together.
+    """
+    begins = np.cumsum(per_text) - per_text
+    total = np.add.reduceat(lengths, begins).astype(np.float64)
+    part = lengths / np.repeat(total / per_text, per_text)
+    sign = np.where(labels == 1, 1.0, -1.0)
+    share = lambda good: np.add.reduceat(good * lengths, begins) / total
+    fits = lambda good: np.where(labels == 1, share(good) >= GOOD_SHARE, share(good) <= BAD_SHARE)
+    low, high = np.zeros(len(labels)), np.full(len(labels), 64.0)
+    high[fits(forward_backward(unary, per_text, change)[0])] = 0
+    for _ in range(12):
+        middle = (low + high) / 2
+        enough = fits(forward_backward(unary + np.repeat(sign * middle, per_text) * part, per_text, change)[0])
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    good, pairs, _ = forward_backward(unary + np.repeat(sign * high, per_text) * part, per_text, change)
+    return good, pairs
+
+
+def fit_texts(texts: list[str], labels: np.ndarray, decay: float = 1.0, rounds: int = 40) -> Crf:
+    """Latent line labels by EM, each maximisation by L-BFGS with a squared penalty; then the two calibration numbers by Newton steps."""
     features, lengths, per_text = line_features(texts)
     mean, scale = features.mean(0), features.std(0) + 1e-6
     x = (features - mean) / scale
-    y = np.repeat(labels.astype(np.float64), per_text)
-    doc_y = labels.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (doc_y, doc_y), per_text - 1)
-
-    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b, change = p[:N_FEATURES], p[N_FEATURES], p[N_FEATURES + 1 :].reshape(2, 2)
-        unary = x @ w + b
-        good, pairs, log_norm = forward_backward(unary, per_text, change)
-        value = log_norm - (y * unary).sum() - (seen * change).sum() + decay / 2 * (p @ p)
-        grad = np.concatenate([x.T @ (good - y), [(good - y).sum()], (pairs - seen).ravel()]) + decay * p
-        return value / len(y), grad / len(y)
-
-    p = lbfgs(loss, np.zeros(N_FEATURES + 5), rounds)
-    crf = Crf(mean, scale, p[:N_FEATURES], float(p[N_FEATURES]), p[N_FEATURES + 1 :].reshape(2, 2))
+    n = N_FEATURES
+
+    def fitted(p: np.ndarray, y: np.ndarray, seen: np.ndarray, free: np.ndarray) -> np.ndarray:
+        def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+            unary, change = x @ p[:n] + p[n], p[n + 1 :].reshape(2, 2)
+            good, pairs, log_norm = forward_backward(unary, per_text, change)
+            value = log_norm - (y * unary).sum() - (seen * change).sum() + decay / 2 * (p @ p)
+            grad = np.concatenate([x.T @ (good - y), [(good - y).sum()], (pairs - seen).ravel()]) + decay * p
+            return value / len(y), grad * free / len(y)
+
+        return lbfgs(loss, p, rounds)
+
+    by_itself = np.zeros(n + 5)
+    by_itself[:N_LINE] = by_itself[n] = 1
+    p = fitted(np.zeros(n + 5), np.repeat(labels.astype(np.float64), per_text), np.zeros((2, 2)), by_itself)
+    for _ in range(EM_ROUNDS):
+        y, seen = constrained(x @ p[:n] + p[n], lengths, per_text, p[n + 1 :].reshape(2, 2), labels)
+        p = fitted(p, y, seen, np.ones(n + 5))
+    crf = Crf(mean, scale, p[:n], float(p[n]), p[n + 1 :].reshape(2, 2))
     good, _, _ = forward_backward(crf.unary(features), per_text, crf.change)
     z = np.stack([pooled(good, lengths, per_text), np.ones(len(texts))], axis=1)
     ab = np.array([1.0, 0.0])
@@ -220,18 +292,29 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Crf:
     """Learn from labelled documents that are not held out, of each label half of ``fit_docs`` at most.
 
-    Chosen by a hash of the id, and of those chosen the texts up to ``fit_chars`` characters; this
-    bounds what comes to the driver. Rows of labels with a null in id or quality, or an id with both
-    labels, teach nothing. With documents of one label or none, the score is that label's rate.
+    They are chosen by a hash of the id, and then taken in the order of that hash as long as their
+    characters stay within ``fit_chars``; one that would go beyond is left out. This bounds what comes to
+    the driver: first ids and sizes, then the texts. Rows of labels with a null in id or quality, or
+    an id with both labels, teach nothing. With documents of one label or none, the score is that
+    label's rate.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     one = 1 << 30
     share = {q: int(one * min(1.0, fit_docs / 2 / n)) for q, n in counts.items()}
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(one)) < F.when(F.col("quality") == 1, share.get(1, 0)).otherwise(share.get(0, 0)))
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").select("doc_id", "text", "quality").collect()  # chosen: about fit_docs rows
+    place = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(one))
+    chosen = known.where(place < F.when(F.col("quality") == 1, share.get(1, 0)).otherwise(share.get(0, 0))).select("doc_id", "quality", place.alias("place"))
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).where(F.col("text").isNotNull())
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place").agg(F.sum(F.length("text") + LINE_COST * lines).alias("size")).collect()  # about fit_docs rows
+    left, taken = fit_chars, []
+    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["doc_id"],))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id bigint").join(chosen, "doc_id")
+    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "quality").collect()  # fit_chars characters
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     if len({r["quality"] for r in rows}) < 2:
         rate = (sum(r["quality"] for r in rows) + 1) / (len(rows) + 2)

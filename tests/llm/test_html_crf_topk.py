@@ -94,6 +94,54 @@ def test_forward_backward_against_brute_force():
     assert np.allclose(pairs, sum(p[1] for p in parts)) and norm == pytest.approx(sum(p[2] for p in parts))
 
 
+@pytest.mark.parametrize("counts", [[150, 3, 1], [200], [90, 90, 2], [66, 2]])
+def test_long_texts_are_walked_alone_with_the_same_result(counts, monkeypatch):
+    r = np.random.default_rng(sum(counts))
+    unary, change = r.normal(0, 2, sum(counts)), r.normal(0, 1, (2, 2))
+    alone = []
+    real = quality_crf._long_tail
+    monkeypatch.setattr(quality_crf, "_long_tail", lambda *a: alone.append(a[0]) or real(*a))
+    good, pairs, norm = quality_crf.forward_backward(unary, np.array(counts), change)
+    # twice the same text is never alone
+    twice = quality_crf.forward_backward(np.concatenate([unary, unary]), np.array(counts * 2), change)
+    assert np.allclose(good, twice[0][: len(good)]) and np.allclose(2 * pairs, twice[1]) and 2 * norm == pytest.approx(twice[2])
+    assert len(alone) == (counts[0] != 90)
+
+
+def test_constrained_shares():
+    r = np.random.default_rng(2)
+    counts, labels = np.array([4, 1, 9, 6]), np.array([1, 0, 0, 1])
+    unary, lengths = r.normal(0, 3, 20), r.integers(1, 90, 20)
+    good, pairs = quality_crf.constrained(unary, lengths, counts, np.zeros((2, 2)), labels)
+    for k, (g, n) in enumerate(zip(np.split(good, np.cumsum(counts)[:-1]), np.split(lengths, np.cumsum(counts)[:-1]), strict=True)):
+        share = (g * n).sum() / n.sum()
+        assert share >= quality_crf.GOOD_SHARE - 1e-9 if labels[k] else share <= quality_crf.BAD_SHARE + 1e-9
+    assert pairs.sum() == pytest.approx((counts - 1).sum())
+
+
+def test_lines_have_labels_of_their_own(spark):
+    """A document of good and bad lines gets both labels, and a line's probability depends on the lines around it."""
+    docs, labels = (spark.read.parquet(str(DATA / f"sf0.01/{n}.parquet")) for n in ("documents", "labels"))
+    crf = quality_crf.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where("text is not null and quality = 1 and text like '%\n%'").limit(20).collect()
+    good = [x for r in rows for x in r.text.split("\n") if len(x) > 60][:12]
+    bad = [" | ".join(x.split()) for x in good]
+    both, _, _ = crf.lines(["\n".join(good[:6] + bad[6:])])
+    assert (both[:6] > 0.5).mean() > 0.8 and (both[6:] < 0.5).mean() > 0.8
+    turned, _, _ = crf.lines(["\n".join(x for pair in zip(good[:6], bad[6:], strict=True) for x in pair)])
+    assert np.abs(turned[::2] - both[:6]).max() > 0.01
+    scores = crf.score(["\n".join(good), "\n".join(bad)])
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_learning_takes_documents_within_its_budget(spark):
+    texts = ["word and more. " * 20, "a | b | c | " * 20] * 30 + ["word " * 100_000]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int")
+    for most in (10_000, 10_000_000, 10):
+        assert quality_crf.fit(docs, labels, fit_chars=most).weights.shape == (quality_crf.N_FEATURES,)
+
+
 def test_lbfgs_finds_the_minimum():
     a = np.diag([1.0, 10, 100])
     p = quality_crf.lbfgs(lambda x: (0.5 * (x - 1) @ a @ (x - 1), a @ (x - 1)), np.zeros(3), 100)
