@@ -1,9 +1,16 @@
 """Main text of web pages by minimum-cut labelling of blocks (operator 4).
 
-A page is cut into blocks of text at its block-level tags. A linear classifier gives each block a
-cost for being labelled content or boilerplate; these are its capacities to the two terminals. Edges
-join each block to the next one and to the next below the same parent, stronger the closer they are
-in the tree. The minimum cut, found by maximum flow, is the labelling of least total cost.
+A page is cut into blocks of text at its block-level tags. The nodes of a graph are the blocks and the
+regions, the elements whose tag or name speaks for or against content. A logistic model of the text
+gives every block a log odds, its capacity to one of the two terminals; a region's evidence, times the
+blocks in it, is the region's. Edges are the smoothness: a block and the next one, and the next one
+below the same parent, stronger the closer they are in the tree; a block and its region; a region
+and the region around it. The minimum cut, found by maximum flow, is the labelling of least total
+cost. So names decide nothing by themselves: they pull the blocks inside, neighbours pull each
+other, and the text pulls back.
+
+The text model is fitted to the pages at hand: blocks in regions of clear evidence, of a bounded
+hashed sample of pages, are its examples, and it sees nothing of tags or names that made them so.
 """
 
 from __future__ import annotations
@@ -13,12 +20,13 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import slices, stored
 
 # Names of HTML.
 BLOCK_TAGS = frozenset(
@@ -34,6 +42,8 @@ _CLOSED_BY = {
     "p": _P_CLOSERS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "head": {"body"},
     "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "th": {"td", "th", "tr", "tbody", "thead", "tfoot"},
 }
+#: The kinds of open tags that an open tag closes.
+_CLOSES = {tag: [kind for kind, by in _CLOSED_BY.items() if tag in by] for tag in BLOCK_TAGS}
 #: Searching for an open tag to close stops at these.
 _SCOPES = frozenset("table td th ul ol dl select article section div body html button form".split())
 
@@ -60,18 +70,33 @@ _BAD_NAME = re.compile(rf"(?:^|[^a-z])(?:{_BAD_NAMES})(?:$|[^a-z])")
 _NO_NAME = re.compile(r"^(?:has|with|without|no|is|not)(?:$|[^a-z])|(?:article|entry|post|story|content|page)[^a-z]*(?:header|head|title)$")
 _GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|articlebody|story|post|entry|content|main|maincontent|body|text|prose)(?:$|[^a-z])")
 BAD_NAME_WEIGHT, GOOD_NAME_WEIGHT, HIDDEN_WEIGHT = -9.0, 1.0, -9.0
-#: Weights of a block's own features.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKS, HEADING = -1.0, 0.08, 40, 0.8, -2.5, 0.6
-#: Capacities of the edges to the next block and the next sibling, divided by the tree distance.
-NEXT, SIBLING = 1.0, 1.0
+#: What an example's inherited evidence must reach to count as content or as boilerplate.
+CLEAR_CONTENT, CLEAR_BOILERPLATE = 2.0, -4.0
+#: The model of a block's text: how its features add up to log odds where there is nothing to learn from, which is also the prior of learning.
+FEATURES = ("bias", "log words", "ends as a sentence", "share in links", "marks a word")
+DEFAULT = (-1.75, 0.75, 0.8, -2.5, 0.0)
+#: A block's log odds lie within this, so that what is around it can turn it.
+MOST = 3.0
+#: Edges to the next block and the next sibling, divided by the tree distance.
+NEXT, SIBLING = 1.5, 1.5
+#: What a heading's tag adds to its text's log odds.
+HEADING = 0.6
+#: What it costs, a block, that content lies in a boilerplate region, that boilerplate lies in a content region, and that a content region lies in a boilerplate one.
+INSIDE, OUTSIDE, NESTED = 6.0, 2.0, 4.0
+#: The model is learned from about this many pages, and from about this many of their blocks.
+FIT_PAGES, FIT_BLOCKS = 500, 20_000
+_MARKS = re.compile(r"[.,;:!?]")
 
 
 class Element:
-    __slots__ = ("depth", "parent", "tag", "weight")
+    __slots__ = ("below", "depth", "own", "parent", "region", "tag", "weight")
 
-    def __init__(self, tag: str, parent: Element | None, weight: float) -> None:
-        self.tag, self.parent, self.weight = tag, parent, weight
+    def __init__(self, tag: str, parent: Element | None, own: float) -> None:
+        self.tag, self.parent, self.own = tag, parent, own
+        self.weight = own + (parent.weight if parent else 0.0)
         self.depth = parent.depth + 1 if parent else 0
+        self.region = self if own else parent.region if parent else None
+        self.below = 0  # blocks in this region
 
 
 class Block:
@@ -81,8 +106,8 @@ class Block:
         self.text, self.links, self.holder = text, links, holder
 
 
-def _weight(tag: str, attributes: str, parent: Element) -> float:
-    """What all open elements say, the inner ones last: a name or tag against content outweighs containers around it."""
+def _evidence(tag: str, attributes: str, parent: Element) -> float:
+    """What an element's tag and names say for (positive) or against content."""
     own = TAG_WEIGHT.get(tag, 0.0)
     if tag == "header" and parent.weight > 0:
         own = 0.0  # an article's own header holds its headline
@@ -96,13 +121,46 @@ def _weight(tag: str, attributes: str, parent: Element) -> float:
                 own += GOOD_NAME_WEIGHT
         if _HIDDEN.search(attributes):
             own += HIDDEN_WEIGHT
-    return parent.weight + own
+    return own
+
+
+class _Open:
+    """The open elements, with the places of each tag, of block elements and of scopes, so that a tag finds its partner at once."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", None, 0.0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def push(self, element: Element) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(element.tag, []).append(at)
+        if element.tag in BLOCK_TAGS:
+            self.blocks.append(at)
+        if element.tag in _SCOPES:
+            self.scopes.append(at)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of the tag, 0 without one."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+        for kind in (self.blocks, self.scopes):
+            while kind[-1] >= at:
+                kind.pop()
 
 
 def blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page in order, with character references decoded and white space as one blank."""
-    root = Element("", None, 0.0)
-    open_: list[Element] = [root]
+    """The non-empty blocks of a page in order, with character references decoded and white space as one blank.
+
+    The work is in proportion to the page, whatever its tags: a tag looks up the one that it closes.
+    """
+    open_ = _Open()
     found: list[Block] = []
     held: list[str] = []
     links = in_link = 0
@@ -113,8 +171,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                holder = next(e for e in reversed(open_) if e.tag in BLOCK_TAGS or not e.parent)
-                found.append(Block(text, links, holder))
+                found.append(Block(text, links, open_.stack[open_.blocks[-1]]))
             held.clear()
         links = 0
 
@@ -136,17 +193,13 @@ def blocks(page: str) -> list[Block]:
         if tag == "br" or tag == "wbr":
             held.append(" " if tag == "br" else "")
         elif closing:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    if tag in BLOCK_TAGS or any(e.tag in BLOCK_TAGS for e in open_[i:]):
-                        close_block()
-                    del open_[i:]
-                    break
-                if tag not in BLOCK_TAGS and open_[i].tag in BLOCK_TAGS:
-                    break  # an inline tag's end does not close a block
-            else:
-                if tag in BLOCK_TAGS:
-                    close_block()
+            place = open_.last(tag)
+            if tag in BLOCK_TAGS:
+                close_block()
+                if place:
+                    open_.cut(place)
+            elif place > open_.blocks[-1]:  # an inline tag's end does not close a block
+                open_.cut(place)
             if tag == "a":
                 in_link = max(0, in_link - 1)
         elif tag in RAW_TAGS:
@@ -156,28 +209,36 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag in BLOCK_TAGS:
                 close_block()
-                for i in range(len(open_) - 1, 0, -1):
-                    if tag in _CLOSED_BY.get(open_[i].tag, ()):
-                        del open_[i:]
-                        break
-                    if open_[i].tag in _SCOPES:
-                        break
+                place = max(map(open_.last, _CLOSES.get(tag, ())), default=0)
+                if place and place >= open_.scopes[-1]:
+                    open_.cut(place)
             if tag not in VOID_TAGS:
-                parent = open_[-1]
-                open_.append(Element(tag, parent, _weight(tag, attributes, parent)))
+                parent = open_.stack[-1]
+                open_.push(Element(tag, parent, _evidence(tag, attributes, parent)))
             if tag == "a":
                 in_link += 1
     close_block()
+    for block in found:
+        if region := block.holder.region:
+            region.below += 1
     return found
 
 
-def leaning(block: Block) -> float:
-    """The classifier: how far the block leans to content (positive) or boilerplate (negative)."""
-    words = block.text.count(" ") + 1
-    score = BIAS + block.holder.weight + PER_WORD * min(words, MOST_WORDS)
-    score += SENTENCE if block.text[-1] in ".!?…:;\"'”»)" else 0.0
-    score += LINKS * min(1.0, block.links / max(1, len(block.text)))
-    return score + (HEADING if block.holder.tag in HEADINGS else 0.0)
+def features(found: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block of a page: its text alone, as tags, names and neighbours have their say in the graph."""
+    words = np.array([b.text.count(" ") + 1 for b in found], float)
+    linked = [min(1.0, b.links / len(b.text)) for b in found]
+    marks = np.array([len(_MARKS.findall(b.text)) for b in found]) / words
+    ends = [b.text[-1] in ".!?…:;\"'”»)" for b in found]
+    return np.column_stack([np.ones(len(found)), np.log1p(words), ends, linked, np.minimum(marks, 1.0)])
+
+
+def leaning(found: list[Block], model: tuple[float, ...] = DEFAULT) -> list[float]:
+    """How far the text of each block leans to content (positive) or boilerplate (negative)."""
+    if not found:
+        return []
+    heading = np.array([HEADING if b.holder.tag in HEADINGS else 0.0 for b in found])
+    return np.clip(features(found) @ np.array(model) + heading, -MOST, MOST).tolist()
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -206,42 +267,84 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     return out
 
 
-def min_cut(lean: list[float], joined: dict[tuple[int, int], float]) -> list[bool]:
+def regions(found: list[Block]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """The capacities of the regions, which are numbered after the blocks, and the one-way edges from blocks and regions.
+
+    An edge (a, b) is paid if a is content and b is not. All blocks below a region count for it.
+    """
+    number: dict[int, int] = {}
+    order: list[Element] = []
+    oneway: dict[tuple[int, int], float] = {}
+    for i, block in enumerate(found):
+        region = block.holder.region
+        if not region:
+            continue
+        inner = region
+        while region and id(region) not in number:
+            number[id(region)] = len(found) + len(order)
+            order.append(region)
+            region = region.parent.region if region.parent else None
+        oneway[i, number[id(inner)]] = INSIDE
+        oneway[number[id(inner)], i] = OUTSIDE
+    total = [r.below for r in order]
+    for k in sorted(range(len(order)), key=lambda k: -order[k].depth):
+        around = order[k].parent.region if order[k].parent else None
+        if around:
+            outer = number[id(around)]
+            total[outer - len(found)] += total[k]
+            oneway[number[id(order[k])], outer] = NESTED * total[k]
+    return [r.own * n for r, n in zip(order, total, strict=True)], oneway
+
+
+def min_cut(lean: list[float], joined: dict[tuple[int, int], float], oneway: dict[tuple[int, int], float] | None = None) -> list[bool]:
     """True for the nodes on the source's side of the minimum cut; a tie goes to the sink's side.
 
-    A node whose terminal capacity is at least that of all its open edges has the same side in some
-    minimum cut, so it is decided at once and its edges become terminal capacities of its neighbours.
-    What is left is solved by maximum flow.
+    ``joined`` is paid if the two nodes differ, ``oneway`` if the first is on the source's side and the
+    second is not. A node whose terminal capacity is at least that of all edges that it could have
+    to pay on that side is there in some minimum cut, so it is decided at once and its edges become
+    terminal capacities of its neighbours. What is left is solved by maximum flow.
     """
     n = len(lean)
     lean = list(lean)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    out: list[dict[int, float]] = [{} for _ in range(n)]
+    into: list[dict[int, float]] = [{} for _ in range(n)]
+    for (a, b), w in (oneway or {}).items():
+        out[a][b] = into[b][a] = out[a].get(b, 0.0) + w
     for (a, b), w in joined.items():
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    weight = [sum(x.values()) for x in near]
+        for x, y in ((a, b), (b, a)):
+            out[x][y] = into[y][x] = out[x].get(y, 0.0) + w
+    leaving, coming = ([sum(x.values()) for x in way] for way in (out, into))
     side: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if side[i] is None and (lean[i] > weight[i] or -lean[i] >= weight[i]):
-            side[i] = lean[i] > 0
-            for j, w in near[i].items():
-                if side[j] is None:
-                    lean[j] += w if side[i] else -w
-                    weight[j] -= w
-                    todo.append(j)
+        if side[i] is not None or not (lean[i] > leaving[i] or -lean[i] >= coming[i]):
+            continue
+        side[i] = lean[i] > leaving[i]
+        for j, w in out[i].items():
+            if side[j] is None:
+                coming[j] -= w
+                lean[j] += w if side[i] else 0.0
+                todo.append(j)
+        for j, w in into[i].items():
+            if side[j] is None:
+                leaving[j] -= w
+                lean[j] -= 0.0 if side[i] else w
+                todo.append(j)
     rest = [i for i in range(n) if side[i] is None]
     if rest:
         place = {i: k for k, i in enumerate(rest)}
-        links = [(place[i], place[j], w) for i in rest for j, w in near[i].items() if i < j and side[j] is None]
+        links = [(place[i], place[j], w, out[j].get(i, 0.0) if i < j else 0.0) for i in rest for j, w in out[i].items() if side[j] is None and (i < j or i not in out[j])]
         for i, s in zip(rest, max_flow([lean[i] for i in rest], links), strict=True):
             side[i] = s
     return [bool(s) for s in side]
 
 
-def max_flow(lean: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Dinic's algorithm from the source (capacity: positive leanings) to the sink (negative ones); the source's side."""
+def max_flow(lean: list[float], links: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Dinic's algorithm from the source (capacity: positive leanings) to the sink (negative ones); the source's side.
+
+    Links are (a, b, capacity forth, capacity back).
+    """
     n = len(lean)
     source, sink = n, n + 1
     head: list[list[int]] = [[] for _ in range(n + 2)]
@@ -257,8 +360,8 @@ def max_flow(lean: list[float], links: list[tuple[int, int, float]]) -> list[boo
     for i, x in enumerate(lean):
         link(source, i, max(x, 0.0), 0.0)
         link(i, sink, max(-x, 0.0), 0.0)
-    for a, b, w in links:
-        link(a, b, w, w)
+    for a, b, forth, back in links:
+        link(a, b, forth, back)
     least = 1e-12
     while True:
         level = [-1] * (n + 2)
@@ -300,26 +403,75 @@ def max_flow(lean: list[float], links: list[tuple[int, int, float]]) -> list[boo
                 break
 
 
-def main_text(page: str) -> str:
+def labels(found: list[Block], model: tuple[float, ...] = DEFAULT) -> list[bool]:
+    """Which blocks of a page are content."""
+    weights, oneway = regions(found)
+    return min_cut(leaning(found, model) + weights, edges(found), oneway)[: len(found)]
+
+
+def main_text(page: str, model: tuple[float, ...] = DEFAULT) -> str:
     """The content blocks of a page, in page order, with an empty line between them."""
     found = blocks(page)
-    content = min_cut([leaning(b) for b in found], edges(found))
-    return "\n\n".join(b.text for b, yes in zip(found, content, strict=True) if yes)
+    return "\n\n".join(b.text for b, yes in zip(found, labels(found, model), strict=True) if yes)
+
+
+def fit_model(x: np.ndarray, y: np.ndarray, decay: float = 10.0) -> tuple[float, ...]:
+    """Logistic regression with a squared penalty on the distance from DEFAULT, by Newton steps."""
+    prior = np.array(DEFAULT)
+    w = prior.copy()
+    if not 0 < y.sum() < len(y):
+        return DEFAULT
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + decay * np.eye(len(w)), x.T @ (p - y) + decay * (w - prior))
+        w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+    return tuple(w.tolist())
+
+
+def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES, fit_blocks: int = FIT_BLOCKS) -> tuple[float, ...]:
+    """The text model from blocks of clear evidence in about ``fit_pages`` pages, chosen by a hash.
+
+    About ``fit_blocks`` rows of features come to the driver, chosen by a hash of page and place.
+    Without examples of both kinds the model is DEFAULT.
+    """
+    one = 1 << 30
+    source = F.coalesce(pages[html_col].cast("string"), F.lit(""))
+    share = int(one * min(1.0, fit_pages / max(1, pages.count())))
+    chosen = pages.select(source.alias("html")).where(F.pmod(F.xxhash64(F.lit(4), "html"), F.lit(one)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                found = blocks(page)
+                clear = [i for i, b in enumerate(found) if not CLEAR_BOILERPLATE < b.holder.weight < CLEAR_CONTENT]
+                if clear:
+                    x, y = features(found)[clear], [found[i].holder.weight > 0 for i in clear]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y)], ["x", "y"])
+
+    examples = stored(chosen.mapInArrow(run, "x array<double>, y boolean"), "html-examples")
+    rate = int(one * min(1.0, fit_blocks / max(1, examples.count())))
+    rows = examples.where(F.pmod(F.xxhash64(F.lit(4), "x", F.monotonically_increasing_id()), F.lit(one)) < rate).collect()
+    rows.sort()
+    if not rows:
+        return DEFAULT
+    return fit_model(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (all but the html by default), text and n_chars of every row.
 
-    A null or empty page has an empty text. Rows are independent: repeated rows give a row each, and
-    an empty table an empty table. Columns named text or n_chars are replaced.
+    A null or empty page has an empty text. Rows are independent once the text model is learned:
+    repeated rows give a row each, and an empty table an empty table. Columns named text or n_chars
+    are replaced.
     """
     names = [c for c in (pages.columns if carry is None else carry) if c not in (html_col, "text", "n_chars")]
+    model = fit(pages, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources = batch.column(1).to_pylist()
             for a, b in slices([len(x) for x in sources]):
-                texts = [main_text(x) for x in sources[a:b]]
+                texts = [main_text(x, model) for x in sources[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "text", "n_chars"])
 
     kept = F.struct(F.lit(True).alias("_"), *(pages[c] for c in names))

@@ -50,7 +50,60 @@ def test_cut_is_minimal(seed):
     cost = lambda s: sum(max(0, -x) if a else max(0, x) for x, a in zip(lean, s, strict=True)) + sum(w for (i, j), w in joined.items() if s[i] != s[j])
     best = min(map(cost, itertools.product([False, True], repeat=n)))
     assert cost(html_text.min_cut(lean, joined)) == pytest.approx(best)
-    assert cost(html_text.max_flow(lean, [(a, b, w) for (a, b), w in joined.items()])) == pytest.approx(best)
+    assert cost(html_text.max_flow(lean, [(a, b, w, w) for (a, b), w in joined.items()])) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cut_with_one_way_edges_is_minimal(seed, monkeypatch):
+    r = random.Random(100 + seed)
+    n = r.randint(2, 9)
+    lean = [r.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2, 3]) for _ in range(n)]
+    joined = {(i, j): r.choice([0.5, 1, 2]) for i in range(n) for j in range(i + 1, n) if r.random() < 0.3}
+    oneway = {(i, j): r.choice([0.5, 1, 2]) for i in range(n) for j in range(n) if i != j and r.random() < 0.3}
+    cost = lambda s: sum(max(0, -x) if a else max(0, x) for x, a in zip(lean, s, strict=True)) + sum(w for (i, j), w in joined.items() if s[i] != s[j]) + sum(w for (i, j), w in oneway.items() if s[i] and not s[j])
+    assert cost(html_text.min_cut(lean, joined, oneway)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+
+
+def test_the_cut_turns_blocks(spark):
+    """On real pages the text alone would keep adverts and footers; the graph turns them, and keeps every block of the article, with or without its tag."""
+    pages = spark.read.parquet(str(DATA / "sf0.01/pages.parquet"))
+    model = html_text.fit(pages)
+    assert model != html_text.DEFAULT
+    turned = total = 0
+    for r in pages.collect():
+        inside = r.html.split("<article>")[1].split("</article>")[0]
+        expected = [b.text for b in html_text.blocks(inside)]
+        for page in (r.html, r.html.replace("<article>", "<div>").replace("</article>", "</div>")):
+            found = html_text.blocks(page)
+            keep = html_text.labels(found, model)
+            assert [b.text for b, yes in zip(found, keep, strict=True) if yes] == expected
+            turned += sum((x > 0) != yes for x, yes in zip(html_text.leaning(found, model), keep, strict=True))
+            total += len(found)
+    assert turned > 0.01 * total
+
+
+def test_flow_decides_where_neighbours_disagree(monkeypatch):
+    calls = []
+    real = html_text.max_flow
+    monkeypatch.setattr(html_text, "max_flow", lambda *a: calls.append(len(a[0])) or real(*a))
+    texts = ["Yes.", "A few words here, no more.", "No.", "A few words here, no more.", "Well, there are some more here."]
+    page = "<body>" + "".join(f"<p>{x}</p>" for x in texts)
+    assert len(html_text.main_text(page).split("\n\n")) == len(texts)  # together, though two lean the other way
+    assert calls and [x > 0 for x in html_text.leaning(html_text.blocks(page))] == [False, True, False, True, True]
+
+
+def test_names_of_a_container_do_not_save_what_lies_in_a_sidebar():
+    page = "<main><p>One paragraph that has enough words to be content here.</p><div class=sidebar><div class=content>" + "<p>Another one at the side that reads like any content.</p>" * 30 + "</div></div></main>"
+    assert html_text.main_text(page) == "One paragraph that has enough words to be content here."
+
+
+@pytest.mark.parametrize("make", [lambda n: "<span>" * n + "x</div>" * n, lambda n: "<b><div>" + "<span>y" * n + "</b>" * n, lambda n: "<p><button>" + "<span>" * n + "x<hr>" * n, lambda n: "<div>z" * n, lambda n: "<ul>" + "<li>q" * n, lambda n: '<div class="content"><div class="ad">x' * n])
+def test_broken_markup_takes_time_in_proportion(make):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(make(40_000))
+    assert time.process_time() - began < 15  # a scan of the open tags for each tag would take minutes
 
 
 def test_pages_of_the_smallest_table(spark):
