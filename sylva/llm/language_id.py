@@ -151,7 +151,12 @@ def predict(docs: DataFrame, model: Profiles, text_col: str = "text", carry: lis
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document, by profiles learned from those not held out."""
+    """(doc_id, held_out, lang_pred, score) of every document, by profiles learned from those not held out.
+
+    Texts that are null or have no letter are "und" with score 0, as is every text where no document
+    has a language. Languages with equal distances: the first by name. Repeated rows give a row each; a
+    null id stays, counts as not held out, but teaches nothing; an empty table gives an empty one.
+    """
     model = fit(docs)
     found = predict(docs, model, carry=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -179,6 +184,9 @@ def keep(docs: DataFrame, min_similarity_share: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose language can be told (not "und") with at least the score given.
 
     A text that is too far from the profiles of all languages is "und" here; see least_similarity.
+    Null texts and texts without letters go; of languages with equal distances the first by name is
+    taken; repeated rows stay or go together; null ids are no matter; columns are held in a struct, so
+    any names will do; an empty table gives an empty one.
     """
     chosen = learned(docs)
     model = _profiles(chosen, PROFILE)

@@ -95,25 +95,46 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     Ties go to the smaller id. Of rows with one id, a query is the least vector, and a candidate
     counts once with its best score. Other columns are not read. An empty table gives an empty table.
     """
-    rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
+    rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].alias("vector"))
     real = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & real)
+    double = F.col("vector").cast("array<double>").alias("vector")
+    queries = stored(rows.where(F.col("vec_id") % every == 0).select("vec_id", double).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    rows = _few_copies(rows, k).select("vec_id", double)
     cells = _ranges(rows)
-    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     found = scan(approximation(rows, cells), queries, cells, k)
 
-    best = found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
-    mine = Window.partitionBy("query_id")
-    best = best.withColumn("nth", F.row_number().over(mine.orderBy(F.desc("lower"), "vec_id")))
-    best = best.withColumn("floor", F.max(F.when(F.col("nth") == k, F.col("lower"))).over(mine)).where("floor is null or upper >= floor")
-    left = best.withColumn("place", F.row_number().over(mine.orderBy(F.desc("upper"), "vec_id"))).select("query_id", "vec_id", "upper", "place")
-    left = stored(left, "left")
-    scored = stored(exact(left.where(F.col("place") <= k), rows, queries), "exact")
-    least = scored.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
-    open_ = left.where(F.col("place") > k).join(least, "query_id", "left").where("least is null or upper >= least")
-    more = exact(stored(open_.select("query_id", "vec_id"), "open"), rows, queries)
-    place = F.row_number().over(mine.orderBy(F.desc("score"), "vec_id"))
-    return scored.unionByName(more).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def first(pairs: DataFrame, by: str) -> DataFrame:
+        """The k best pairs of each query; tasks drop what is beyond them before the exchange."""
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
+        return pairs.withColumn("rank", place).where(F.col("rank") <= k)
+
+    def floor(pairs: DataFrame, by: str) -> DataFrame:
+        """The least of k values; queries with fewer have none."""
+        return pairs.groupBy("query_id").agg(F.min(by).alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "floor")
+
+    best = stored(found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper")), "bounds")
+    left = best.join(floor(first(best, "lower"), "lower"), "query_id", "left").where("floor is null or upper >= floor")
+    left = stored(left.select("query_id", "vec_id", "upper"), "left")
+    begin = stored(first(left, "upper").select("query_id", "vec_id"), "begin")
+    scored = stored(exact(begin, rows, queries), "exact")
+    rest = left.join(floor(scored, "score"), "query_id", "left").where("floor is null or upper >= floor")
+    rest = rest.select("query_id", "vec_id").join(begin, ["query_id", "vec_id"], "left_anti")
+    both = scored.unionByName(exact(stored(rest, "rest"), rows, queries))
+    return first(both, "score").select("query_id", "rank", "vec_id", "score")
+
+
+def _few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the k + 1 smallest ids of each vector, as a stored table.
+
+    Equal vectors have equal scores and ties go to smaller ids, so no other copy can be among a
+    query's k best, not even if one of these is the query. A task drops copies beyond that before the
+    exchange, so a vector that a third of all rows have costs a few rows a task.
+    """
+    same = F.xxhash64("vector").alias("g"), F.xxhash64(F.lit(1), "vector").alias("h")
+    nth = F.dense_rank().over(Window.partitionBy("g", "h").orderBy("vec_id"))
+    few = rows.select("*", *same).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    return stored(few.dropDuplicates(["g", "h", "vec_id"]).select("vec_id", "vector"), "vectors")
 
 
 def _ranges(rows: DataFrame) -> dict[int, Cells]:

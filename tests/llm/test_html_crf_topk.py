@@ -265,6 +265,16 @@ def test_vectors_with_clashing_columns_of_mixed_size_and_no_broadcast(spark, mon
     assert found == plain_top(rows)
 
 
+def test_a_vector_of_a_third_of_all_rows(spark, monkeypatch):
+    kept = []
+    real = top_k._few_copies
+    monkeypatch.setattr(top_k, "_few_copies", lambda *a: kept.append(real(*a)) or kept[-1])
+    r = random.Random(10)
+    rows = [(i, [0.9, 0.8, 0.7] if i % 3 == 0 else [r.uniform(-1, 1) for _ in range(3)]) for i in range(1500)]
+    found = sorted(map(tuple, top_k.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()))
+    assert found == plain_top(rows) and kept[0].count() == 1000 + 11
+
+
 def test_bounds_hold_and_few_exact_vectors_are_read(spark):
     x = np.floor(1024 * np.random.default_rng(3).uniform(-1, 1, (2000, 24)))
     cells = top_k.Cells(x.min(0), x.max(0))
