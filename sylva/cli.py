@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import resource
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,8 @@ def _build(spark: SparkSession, args: argparse.Namespace) -> None:
         steps = sliding.incremental_staircase(edges, int(total * args.base_ratio), total, args.blocks)
     steps = stored(steps, "staircase")
     index.save(steps, total, args.index)
-    print(f"built in {time.perf_counter() - began:.1f} s; mean lifetime {mean_lifetime(steps, total).first()[0]}")
+    index.sizes(spark, args.index).show()
+    print(f"built in {time.perf_counter() - began:.1f} s; mean lifetime {mean_lifetime(steps, total).first()[0]}; peak memory of the driver's process {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB")
 
 
 def _query(spark: SparkSession, args: argparse.Namespace) -> None:

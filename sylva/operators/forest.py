@@ -7,15 +7,15 @@ each task has at hand, then what an exchange brings together: a combiner for for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import canonical
 from ..model import EDGE
-from ..storage import stored
+from ..storage import release, stored
 
 #: A task reduces its buffer whenever it holds this many rows.
 BUFFER_ROWS = 500_000
@@ -23,16 +23,17 @@ _COLUMNS = ["key", *EDGE]
 _SCHEMA = "key bigint, src int, dest int, weight int, ts int"
 
 
-def spanning_mask(key: np.ndarray, src: np.ndarray, dest: np.ndarray, weight: np.ndarray, ts: np.ndarray) -> np.ndarray:
+def spanning_mask(key: np.ndarray, src: np.ndarray, dest: np.ndarray, weight: np.ndarray, ts: np.ndarray, ordered: bool = False) -> np.ndarray:
     """Which edges are in the minimum spanning forest of their key, in the canonical order.
 
     Borůvka's rounds over all keys together: ranks are distinct, so each component's least outgoing
     edge is unique and the forest is the one Kruskal's algorithm gives. Exact duplicates: one stays.
+    Edges that come in the canonical order already, ``ordered``, are not sorted.
     """
     picked = np.zeros(len(key), bool)
     if not len(key):
         return picked
-    order = np.lexsort((dest, src, -ts.astype(np.int64), weight))
+    order = np.arange(len(key)) if ordered else np.lexsort((dest, src, -ts.astype(np.int64), weight))
     groups = np.unique(key, return_inverse=True)[1].astype(np.int64)[order] << 32
     ends = np.unique(np.concatenate([groups | src[order], groups | dest[order]]), return_inverse=True)[1]
     n = int(ends.max()) + 1
@@ -153,54 +154,63 @@ def boruvka_forest(keyed: DataFrame, key: str) -> DataFrame:
 
     In each round every component takes its least outgoing edge (an aggregation that combines on the
     map side), labels are contracted by pointer jumping, and edges within a component are dropped.
-    Rounds at least halve the components. All tables of a round are stored.
+    Rounds at least halve the components. All tables of a round are stored, and deleted when the next
+    round has what it needs; edges picked are written once.
     """
     rows = keyed.select(F.col(key).alias("key"), *EDGE).where("src <> dest").distinct()
     live = stored(rows.select("*", F.col("src").alias("a"), F.col("dest").alias("b")), "live")
     rank = F.struct(F.col("weight").alias("w"), (-F.col("ts")).alias("nt"), "src", "dest")
-    picked = live.select("key", *EDGE).limit(0)
+    picked = [keyed.sparkSession.createDataFrame([], live.select("key", *EDGE).schema)]
     while not live.isEmpty():
         ends = live.select("key", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("e"), rank.alias("r"))
         best = ends.groupBy("key", F.col("e.c").alias("c")).agg(F.min(F.struct("r", F.col("e.o").alias("o"))).alias("m"))
         best = stored(best.select("key", "c", F.col("m.o").alias("o"), "m.r"), "best")
         chosen = best.select("key", F.col("r.src").alias("src"), F.col("r.dest").alias("dest"), F.col("r.w").alias("weight"), (-F.col("r.nt")).alias("ts")).distinct()
-        picked = stored(picked.unionByName(chosen), "picked")
+        picked.append(stored(chosen, "picked"))
         # each component points to the one its edge leads to; of two that point to each other the smaller is the root
         other = best.select("key", F.col("c").alias("o"), F.col("o").alias("back"))
         up = best.select("key", "c", "o").join(other, ["key", "o"]).select("key", "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
-        up = stored(up, "parents")
+        done = [best, up := stored(up, "parents")]
         while True:
             again = stored(up.join(up.select("key", F.col("c").alias("p"), F.col("p").alias("pp")), ["key", "p"]).select("key", "c", "p", "pp"), "jump")
+            done.append(again)
             if again.where("p <> pp").isEmpty():
                 break
             up = again.select("key", "c", F.col("pp").alias("p"))
         label = lambda x: up.select("key", F.col("c").alias(x), F.col("p").alias(f"{x}2"))
         moved = live.join(label("a"), ["key", "a"]).join(label("b"), ["key", "b"]).where("a2 <> b2")
+        done.append(live)
         live = stored(moved.select("key", *EDGE, F.col("a2").alias("a"), F.col("b2").alias("b")), "live")
-    return picked.withColumnRenamed("key", key)
+        release(*done)
+    return reduce(DataFrame.unionByName, picked).withColumnRenamed("key", key)
 
 
 def forest_depth(found: DataFrame, key: str) -> DataFrame:
-    """(key, max_depth, avg_depth) of each key's trees rooted at their smallest vertex; found level by level."""
-    pairs = found.select(F.col(key).alias("key"), F.col("src").alias("a"), F.col("dest").alias("b")).unionByName(found.select(F.col(key).alias("key"), F.col("dest").alias("a"), F.col("src").alias("b")))
-    pairs = stored(pairs, "pairs")
-    # labels of components: the least vertex, by repeated minimum over neighbours
-    label = stored(pairs.select("key", F.col("a").alias("v"), F.col("a").alias("l")).distinct(), "labels")
-    while True:
-        near = pairs.join(label.select("key", F.col("v").alias("b"), F.col("l").alias("lb")), ["key", "b"]).groupBy("key", F.col("a").alias("v")).agg(F.min("lb").alias("m"))
-        new = stored(label.join(near, ["key", "v"]).select("key", "v", "l", F.least("l", "m").alias("m")), "labels")
-        if new.where("l <> m").isEmpty():
-            break
-        label = new.select("key", "v", F.col("m").alias("l"))
-    level = stored(label.where("v = l").select("key", "v", F.lit(-1).alias("up"), F.lit(0).alias("depth")), "level")
-    seen = level
-    while not level.isEmpty():
-        below = level.join(pairs.withColumnRenamed("a", "v"), ["key", "v"]).where("b <> up")
-        level = stored(below.select("key", F.col("b").alias("v"), F.col("v").alias("up"), (F.col("depth") + 1).alias("depth")), "level")
-        seen = seen.unionByName(level)
-    return seen.groupBy("key").agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_depth")).withColumnRenamed("key", key)
-
-
-def canonical_prefix(edges: DataFrame, key: str, k: int) -> DataFrame:
-    """The first k edges of each key in the canonical order."""
-    return edges.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*canonical()))).where(F.col("rank") <= k)
+    """(key, max_depth, avg_depth) of each key's trees rooted at their smallest vertex.
+
+    A key's forest is one task, which walks all its trees level by level; its size is that of what
+    keyed_forest finishes in one task anyway.
+    """
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        ends = np.concatenate([table.column(c).to_numpy() for c in ("src", "dest")])
+        names, ends = np.unique(ends, return_inverse=True)
+        n, half = len(names), len(ends) // 2
+        a, b = ends, np.concatenate([ends[half:], ends[:half]])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        starts = np.searchsorted(a, np.arange(n + 1))
+        depth, root = np.full(n, -1), 0
+        while root < n:
+            if depth[root] < 0:
+                depth[root], level, d = 0, np.array([root]), 0
+                while len(level):
+                    sizes = starts[level + 1] - starts[level]
+                    below = b[np.arange(sizes.sum()) + np.repeat(starts[level] - np.cumsum(sizes) + sizes, sizes)]
+                    level, d = np.unique(below[depth[below] < 0]), d + 1
+                    depth[level] = d
+            root += 1
+        return pa.table({"key": [group[0].as_py()], "max_depth": pa.array([int(depth.max())], pa.int32()), "avg_depth": [float(depth.mean())]})
+
+    rows = found.select(F.col(key).cast("bigint").alias("key"), "src", "dest")
+    return rows.groupBy("key").applyInArrow(run, "key bigint, max_depth int, avg_depth double").withColumnRenamed("key", key)

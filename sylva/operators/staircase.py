@@ -102,6 +102,8 @@ def scan(edges: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.nda
     """(te, edges, s) for te in first..last over candidates of any t <= last: the edges still alive and what became of them.
 
     The first te looks at every candidate before it; later ones at those with s < t, since s never falls.
+    One sweep gives s for a te as a whole, so there is no loop over window starts that could end early
+    when all edges of te are out; that rule's saving, not to look at dead edges, is the filter on s < t.
     """
     order = np.argsort(edges[:, 3], kind="stable")
     edges = edges[order]
@@ -168,25 +170,3 @@ def mean_lifetime(steps: DataFrame, total: int) -> DataFrame:
 def mean_t_per_s(rects: DataFrame) -> DataFrame:
     """One row: the mean number of distinct t for each (t1, t2, s)."""
     return rects.groupBy("t1", "t2", "s").agg(F.count_distinct("t").alias("k")).agg(F.avg("k").alias("mean_t_per_s"))
-
-
-def naive_staircase(edges: list[tuple[int, int, int, int]], total: int) -> dict[tuple, list[tuple[int, int]]]:
-    """For tests: from the forests of all windows."""
-    rows = np.array(sorted(set(edges)), np.int64).reshape(-1, 4)
-    out: dict[tuple, list[tuple[int, int]]] = {}
-    local = [r for t in range(total) for r in _window(rows, t, t)]
-    for te in range(total):
-        found = [set(_window(rows, a, te)) for a in range(te + 1)]
-        for e in local:
-            if e[3] <= te:
-                lost = [a for a in range(e[3] + 1) if e not in found[a]]
-                s = max(lost, default=-1)
-                if not out.get(e) or out[e][-1][0] < s:
-                    out.setdefault(e, []).append((s, te))
-    return out
-
-
-def _window(rows: np.ndarray, ts: int, te: int) -> list[tuple]:
-    some = rows[(rows[:, 3] >= ts) & (rows[:, 3] <= te)]
-    mask = spanning_mask(np.zeros(len(some), np.int64), *some.T)
-    return list(map(tuple, some[mask].tolist()))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import stabs
@@ -24,6 +24,22 @@ RESULT = ["window_id", *EDGE]
 STRATEGIES = ("online", "merged", "staircase", "sorted", "segment", "segment_start", "quadrant")
 
 
+def t_part(t: str, span: int) -> Column:
+    """The folder of a saved index that holds the rectangles of t."""
+    return F.floor(F.col(t) / F.lit(span)).cast("int")
+
+
+def node_part(at: str, total: int) -> Column:
+    """The folder, within its level, of a node or cell: its position's first three bits."""
+    return F.expr(f"shiftright({at}, greatest(0, {cover.levels(total) - 3} - level))")
+
+
+def _by_node(table: DataFrame, wide: DataFrame, keys: list[str], total: int) -> DataFrame:
+    if "part" in table.columns:
+        wide, keys = wide.withColumn("part", node_part(keys[1], total)), [*keys, "part"]
+    return table.join(wide, keys)
+
+
 def _result(joined: DataFrame) -> DataFrame:
     return joined.select("window_id", "src", "dest", "weight", F.col("t").alias("ts"))
 
@@ -49,14 +65,19 @@ def merged(edges: DataFrame, windows: DataFrame, total: int, reduced: bool = Fal
     return keyed_forest(runs.join(wide, ["level", "pos"]), "window_id")
 
 
-def by_staircase(rects: DataFrame, windows: DataFrame, total: int) -> DataFrame:
-    """Equi-join on the edge's timestamp, then the rectangle's test."""
+def by_staircase(rects: DataFrame, windows: DataFrame, total: int, span: int | None = None) -> DataFrame:
+    """Equi-join on the edge's timestamp, and on its folder where the rectangles are saved in such, then the rectangle's test."""
     wide = clip(windows, total).withColumn("t", F.explode(F.sequence("ts", "te")))
-    return _result(rects.join(wide, "t").where(stabs(F.col("ts"), F.col("te"))).drop("ts"))
+    if span:
+        wide = wide.withColumn("t_part", t_part("t", span))
+    return _result(rects.join(wide, ["t", "t_part"] if span else "t").where(stabs(F.col("ts"), F.col("te"))).drop("ts"))
 
 
 def by_sorted(rects: DataFrame, windows: DataFrame, total: int) -> DataFrame:
-    """Equi-join on t1: a window looks at rectangles that begin at each t1 up to its end; files sorted by t1 are skipped."""
+    """Equi-join on t1: a window looks at rectangles that begin at each t1 up to its end.
+
+    For comparison: a window of end te makes te + 1 rows, where the covers make K + 1.
+    """
     wide = clip(windows, total).withColumn("t1", F.explode(F.sequence(F.lit(0), F.col("te"))))
     return _result(rects.join(wide, "t1").where(stabs(F.col("ts"), F.col("te"))).drop("ts"))
 
@@ -64,21 +85,21 @@ def by_sorted(rects: DataFrame, windows: DataFrame, total: int) -> DataFrame:
 def by_segment(nodes: DataFrame, windows: DataFrame, total: int) -> DataFrame:
     """Equi-join on the nodes above the window's end, and a test of its start."""
     wide = cover.ancestors(clip(windows, total), "te", total)
-    joined = nodes.join(wide, ["level", "pos"]).where((F.col("s") < F.col("ts")) & (F.col("ts") <= F.col("t")))
+    joined = _by_node(nodes, wide, ["level", "pos"], total).where((F.col("s") < F.col("ts")) & (F.col("ts") <= F.col("t")))
     return _result(joined.drop("ts"))
 
 
 def by_segment_start(nodes: DataFrame, windows: DataFrame, total: int) -> DataFrame:
     """Equi-join on the nodes above the window's start, and a test of its end."""
     wide = cover.ancestors(clip(windows, total), "ts", total)
-    joined = nodes.join(wide, ["level", "pos"]).where((F.col("t1") <= F.col("te")) & (F.col("te") < F.col("t2")))
+    joined = _by_node(nodes, wide, ["level", "pos"], total).where((F.col("t1") <= F.col("te")) & (F.col("te") < F.col("t2")))
     return _result(joined.drop("ts"))
 
 
 def by_quadrant(cells: DataFrame, windows: DataFrame, total: int) -> DataFrame:
     """Equi-join on the cells above the window's point; nothing is left to test."""
     wide = cover.window_cells(clip(windows, total), total)
-    return _result(cells.join(wide, ["level", "cx", "cy"]).drop("ts"))
+    return _result(_by_node(cells, wide, ["level", "cx", "cy"], total).drop("ts"))
 
 
 @dataclass
@@ -90,6 +111,7 @@ class Index:
     end_nodes: DataFrame | None = None
     start_nodes: DataFrame | None = None
     cells: DataFrame | None = None
+    t_span: int | None = None  # of a saved index: how many t a folder of rectangles holds
 
     @classmethod
     def build(cls, edges: DataFrame, blocks: int = 8, reduced: bool = False) -> Index:
@@ -98,7 +120,7 @@ class Index:
 
     def query(self, windows: DataFrame, strategy: str = "segment") -> DataFrame:
         if strategy == "staircase":
-            return by_staircase(self.rects, windows, self.total)
+            return by_staircase(self.rects, windows, self.total, self.t_span)
         if strategy == "sorted":
             return by_sorted(self.rects, windows, self.total)
         if strategy == "segment":
@@ -123,6 +145,16 @@ def window_forest(edges: DataFrame, windows: DataFrame, strategy: str = "auto",
     return (index or Index.build(edges)).query(windows, strategy)
 
 
+def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(window_id, n_left, n_right, n_both, weight_left, weight_right) for each window with an edge in either result; the results are equal if all counts are."""
+    sides = [x.select(*RESULT, F.lit(i == 0).alias("l"), F.lit(i == 1).alias("r")) for i, x in enumerate((left, right))]
+    each = sides[0].unionByName(sides[1]).groupBy(*RESULT).agg(F.count_if("l").alias("l"), F.count_if("r").alias("r"))
+    heavy = F.col("weight").cast("bigint")
+    return each.groupBy("window_id").agg(
+        F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), F.sum(F.least("l", "r")).alias("n_both"), F.sum(heavy * F.col("l")).alias("weight_left"), F.sum(heavy * F.col("r")).alias("weight_right")
+    )
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one result has and the other lacks, with the side that has them; none if the strategies agree."""
     left, right = left.select(*RESULT), right.select(*RESULT)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import numbered
 from ..model import EDGES, adjacency
+from ..storage import stored
 
 _EDGE = np.dtype([("src", "<i4"), ("dest", "<i4"), ("weight", "<i4"), ("ts", "<i4")])
 _PAIR = np.dtype([("ts", "<i4"), ("te", "<i4")])
 _STREAM = np.dtype([("t", "<i4"), ("weight", "<i4"), ("src", "<i4"), ("dest", "<i4")])
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 #: Records that one row of a decoded binary file holds.
 CHUNK = 1 << 20
 
@@ -59,7 +63,11 @@ def read_binary_windows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary_stream(spark: SparkSession, path: str) -> DataFrame:
     """(t, weight, src, dest) from int32 n, int64 m and m int32 records (t, weight, a, b)."""
-    return _decode(_binary(spark, path), "t int, weight int, src int, dest int", lambda d: [_records(d, _STREAM, 12, int(np.frombuffer(d, "<i8", 1, 4)[0]))])
+    return _events(_binary(spark, path))
+
+
+def _events(content: DataFrame) -> DataFrame:
+    return _decode(content, "t int, weight int, src int, dest int", lambda d: [_records(d, _STREAM, 12, int(np.frombuffer(d, "<i8", 1, 4)[0]))])
 
 
 def read_binary_adjacency(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +89,57 @@ def binary_graph(records: np.ndarray) -> bytes:
     return np.int32(len(records)).tobytes() + np.ascontiguousarray(records, "<i4").tobytes()
 
 
+def _write(rows: DataFrame, folder: str, kind: np.dtype, header) -> None:
+    """One file a task, of ``header(records)`` and the records, in a folder that all tasks can reach.
+
+    A task that is run again leaves a file that no manifest names; it is deleted, so that the folder
+    holds each row once. Files that were there before stay.
+    """
+    names, call = list(kind.names), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.column_stack([b.column(i).to_numpy() for i in range(len(names))]) for b in batches]
+        if not held:
+            return
+        made = np.concatenate(held).astype("<i4")
+        path = f"{folder.rstrip('/')}/part-{call}-{uuid.uuid4().hex}.bin"
+        store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(name.rpartition("/")[0])
+        with store.open_output_stream(name) as out:
+            out.write(header(made))
+            out.write(made.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    kept = {r["path"].rpartition("/")[2] for r in stored(rows.select(*names).mapInArrow(run, "path string"), "files").collect()}  # a row a file
+    store, name = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(name)
+    for found in store.get_file_info(fs.FileSelector(name)):
+        if found.base_name not in kept and found.base_name.startswith(f"part-{call}-"):
+            store.delete_file(found.path)
+
+
+def write_binary_graph(edges: DataFrame, folder: str) -> None:
+    """Files in the format of read_binary_graph, one a task; a task holds its rows, 16 bytes each."""
+    _write(edges, folder, _EDGE, lambda x: np.int32(len(x)).tobytes())
+
+
+def write_binary_windows(windows: DataFrame, folder: str) -> None:
+    """Files in the format of read_binary_windows, one a task."""
+    _write(windows, folder, _PAIR, lambda x: np.uint64(len(x)).tobytes())
+
+
+def write_binary_stream(events: DataFrame, folder: str, n: int) -> None:
+    """Files of the events (t, weight, src, dest) in time order in the format of read_binary_stream, one a range of times; n is the number of vertices."""
+    dealt = events.repartitionByRange("t", "weight", "src", "dest").sortWithinPartitions("t", "weight", "src", "dest")
+    _write(dealt, folder, _STREAM, lambda x: np.int32(n).tobytes() + np.int64(len(x)).tobytes())
+
+
+def stream_events(spark: SparkSession, folder: str, files_each: int = 1) -> DataFrame:
+    """A streaming DataFrame (t, weight, src, dest) of the event files in ``folder`` and those that come, ``files_each`` a micro-batch."""
+    source = spark.readStream.format("binaryFile").schema(_FILE).option("maxFilesPerTrigger", files_each).option("pathGlobFilter", "*.bin").load(folder)
+    return _events(source)
+
+
 def read_text_graph(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``src dest weight ts``; a line that does not fit raises."""
     return spark.read.csv(path, sep=" ", schema=EDGES, mode="FAILFAST")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.forest import forest, spanning_mask
+from ..storage import stored
+
 #: Result codes: the edge does not fit the graph; two trees joined, or a tree fell apart; the forest is the same; one edge replaced another.
 INVALID, STRUCTURAL, UNCHANGED, REPLACED = -1, 0, 1, 2
 
@@ -24,25 +27,44 @@ def order(e: Edge) -> tuple[int, int, int, int]:
 class DynamicForest:
     """The minimum spanning forest of a changing set of edges (src, dest, weight, ts) over n vertices.
 
-    All edges of the graph are kept by vertex, those of the forest apart. An insertion looks at the
-    path between the edge's ends; a deletion of a forest edge searches the smaller side for the least
-    edge that leaves it.
+    The forest's edges are kept by vertex, and the others, by vertex too, in the canonical order. An
+    insertion looks at the path between the edge's ends. A deletion of a forest edge goes over the
+    vertices of the smaller side, and over a vertex's other edges only up to the best replacement
+    known, so what it looks at are edges that stay within the side and are lighter than that.
+    ``work`` counts operations, vertices visited and edges looked at as replacements.
     """
 
     def __init__(self, n: int) -> None:
         self.n = n
         self.edges: set[Edge] = set()
-        self.near: dict[int, set[Edge]] = defaultdict(set)
+        self.rest: dict[int, list[tuple[tuple[int, int, int, int], Edge]]] = defaultdict(list)
         self.tree: dict[int, set[Edge]] = defaultdict(set)
         self.size = 0
+        self.work: Counter[str] = Counter()
 
     @classmethod
     def of(cls, n: int, edges: list[Edge]) -> DynamicForest:
+        """The forest of a graph at hand, found as a whole; loops, repeated edges and ids beyond n are left out."""
         made = cls(n)
-        for e in sorted(set(edges), key=order):
-            made.insert(e)
+        rows = np.array(sorted({e for e in edges if made._valid(e)}, key=order), np.int64).reshape(-1, 4)
+        picked = spanning_mask(np.zeros(len(rows), np.int64), *rows.T, ordered=True)
+        for e, yes in zip(map(tuple, rows.tolist()), picked.tolist(), strict=True):
+            made.edges.add(e)
+            if yes:
+                made._link(e)
+            else:
+                made._put_aside(e)
         return made
 
+    def _put_aside(self, e: Edge) -> None:
+        for a in e[:2]:
+            insort(self.rest[a], (order(e), e))
+
+    def _take_back(self, e: Edge) -> None:
+        for a in e[:2]:
+            at = bisect_left(self.rest[a], (order(e), e))
+            del self.rest[a][at]
+
     def _valid(self, e: Edge) -> bool:
         return e[0] != e[1] and 0 <= e[0] < self.n and 0 <= e[1] < self.n
 
@@ -59,6 +81,7 @@ class DynamicForest:
                     if b in came[k]:
                         continue
                     came[k][b] = e
+                    self.work["visited"] += 1
                     if b in came[1 - k]:
                         return self._back(came[0], b) + self._back(came[1], b)
                     follow.append(b)
@@ -87,17 +110,18 @@ class DynamicForest:
         """The code, and the forest edge that had to go."""
         if not self._valid(e) or e in self.edges:
             return INVALID, None
+        self.work["inserted"] += 1
         path = self._path(e[0], e[1])
         self.edges.add(e)
-        self.near[e[0]].add(e)
-        self.near[e[1]].add(e)
         if path is None:
             self._link(e)
             return STRUCTURAL, None
         worst = max(path, key=order)
         if order(worst) < order(e):
+            self._put_aside(e)
             return UNCHANGED, None
         self._cut(worst)
+        self._put_aside(worst)
         self._link(e)
         return REPLACED, worst
 
@@ -105,19 +129,27 @@ class DynamicForest:
         """The code, and the edge that took its place."""
         if e not in self.edges:
             return INVALID, None
+        self.work["deleted"] += 1
         self.edges.discard(e)
-        self.near[e[0]].discard(e)
-        self.near[e[1]].discard(e)
         if e not in self.tree[e[0]]:
+            self._take_back(e)
             return UNCHANGED, None
         self._cut(e)
         side = self._smaller_side(e[0], e[1])
-        leaving = [x for a in side for x in self.near[a] if (x[0] in side) != (x[1] in side)]
-        if not leaving:
+        best: tuple | None = None
+        for a in side:
+            for x in self.rest[a]:
+                if best and x >= best:
+                    break
+                self.work["looked at"] += 1
+                if (x[1][0] in side) != (x[1][1] in side):
+                    best = x
+                    break
+        if not best:
             return STRUCTURAL, None
-        best = min(leaving, key=order)
-        self._link(best)
-        return REPLACED, best
+        self._take_back(best[1])
+        self._link(best[1])
+        return REPLACED, best[1]
 
     def _smaller_side(self, u: int, v: int) -> set[int]:
         sides, fronts = ({u}, {v}), [[u], [v]]
@@ -130,6 +162,7 @@ class DynamicForest:
                 for e in self.tree[a]:
                     b = e[1] if e[0] == a else e[0]
                     if b not in sides[k]:
+                        self.work["visited"] += 1
                         sides[k].add(b)
                         follow.append(b)
             fronts[k] = follow
@@ -143,6 +176,10 @@ class DynamicForest:
     def components(self) -> int:
         return self.n - self.size
 
+    def __str__(self) -> str:
+        """The forest's edges, one a line, in the canonical order."""
+        return "\n".join("{} {} {} {}".format(*e) for e in self.forest())
+
     def is_below(self, v: int, ancestor: int, root: int) -> bool:
         """Whether ``ancestor`` is on the way from v to the root."""
         if v == ancestor or v == root:
@@ -157,20 +194,29 @@ _OUT = "graph_id bigint, seq bigint, op string, code int, src int, dest int, wei
 def replay(operations: DataFrame, n: int) -> DataFrame:
     """Apply operations (graph_id, seq, op insert|delete, src, dest, weight, ts) of each graph in the order of seq.
 
-    Updates of one graph depend on each other, so a graph is one task; different graphs run apart.
+    Updates of one graph depend on each other, so a graph is one task; different graphs run apart. The
+    task reads its operations in order, a batch at a time, and holds the graph's live edges.
     Returns each operation's code, with src, dest, weight and ts of the edge removed or put in its place, if any.
     """
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        forest, out = DynamicForest(n), []
-        for r in table.sort_values("seq").itertuples(index=False):
-            e = (int(r.src), int(r.dest), int(r.weight), int(r.ts))
-            code, other = forest.insert(e) if r.op == "insert" else forest.delete(e)
-            out.append((r.graph_id, r.seq, r.op, code, *(other or (None,) * 4)))
-        frame = pd.DataFrame(out, columns=["graph_id", "seq", "op", "code", "src", "dest", "weight", "ts"])
-        return frame.astype({c: "Int32" for c in ("code", "src", "dest", "weight", "ts")})
-
-    return operations.groupBy("graph_id").applyInPandas(run, _OUT)
+    def run(batches):
+        live: tuple[int | None, DynamicForest] = (None, DynamicForest(n))
+        for batch in batches:
+            graphs, ops = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            edges = list(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True))
+            codes, others = [], []
+            for graph, op, e in zip(graphs, ops, edges, strict=True):
+                if graph != live[0]:
+                    live = (graph, DynamicForest(n))
+                code, other = live[1].insert(e) if op == "insert" else live[1].delete(e)
+                codes.append(code)
+                others.append(other or (None,) * 4)
+            columns = [pa.array(x, pa.int32()) for x in (codes, *zip(*others, strict=True))]
+            if codes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["graph_id", "seq", "op", "code", "src", "dest", "weight", "ts"])
+
+    rows = operations.select("graph_id", "seq", "op", "src", "dest", "weight", "ts")
+    return rows.repartition("graph_id").sortWithinPartitions("graph_id", "seq").mapInArrow(run, _OUT)
 
 
 def code_counts(results: DataFrame) -> DataFrame:
@@ -181,10 +227,10 @@ def sliding_operations(events: DataFrame, width: int, drain: bool = False) -> Da
     """The operations of a window that slides over (seq, t, src, dest, weight): each event goes in, then events older than ``width`` go out.
 
     An event leaves right after the first event later than t + width; both ends of [now - width, now]
-    stay. With ``drain`` those left at the end go out too. Found by a range join on the times, as an
-    aggregation over distinct times.
+    stay. With ``drain`` those left at the end go out too. In descending order of time the first event
+    later than that is a running minimum, so the work is that of a sort.
     """
-    by_time = Window.partitionBy("graph_id").orderBy("t").rangeBetween(width + 1, Window.unboundedFollowing)
+    by_time = Window.partitionBy("graph_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -(width + 1))
     rows = events.withColumn("out_seq", F.min("seq").over(by_time))
     last = F.max("seq").over(Window.partitionBy("graph_id"))
     out = rows.withColumn("last", last)
@@ -206,19 +252,28 @@ def window_width(events: DataFrame, width: int) -> int:
 
 
 def reinsert_sample(edges: DataFrame, sample: DataFrame, n: int) -> DataFrame:
-    """One row: the forest's weight before, and after the sample's edges were deleted and put back; the two are equal."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).to_pydict()
-        rows = list(zip(table["src"], table["dest"], table["weight"], table["ts"], strict=True))
-        forest = DynamicForest.of(n, rows)
-        before = forest.weight()
-        some = [e for e, s in zip(rows, table["sampled"], strict=True) if s]
-        for e in some:
-            forest.delete(e)
-        for e in some:
-            forest.insert(e)
-        yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([forest.weight()]), pa.array([len(some)])], ["before", "after", "n_sampled"])
-
-    marked = edges.join(sample.select("src", "dest", "weight", "ts").withColumn("sampled", F.lit(True)), ["src", "dest", "weight", "ts"], "left")
-    return marked.withColumn("sampled", F.coalesce("sampled", F.lit(False))).repartition(1).mapInArrow(run, "before bigint, after bigint, n_sampled bigint")
+    """One row: the forest's weight before, after the sample's edges were deleted, and after they were put back, and the sample's size.
+
+    The forest of all edges but the sample is found first, by all tasks: whatever part of the sample
+    is there, no other edge outside the sample can be in the forest. The replay in one task then has
+    this forest and the sample alone.
+    """
+    edge = ["src", "dest", "weight", "ts"]
+    some = stored(sample.select(*edge).distinct(), "sample")
+    rest = forest(edges.select(*edge).join(some, edge, "left_anti"))
+    there = edges.select(*edge).join(some, edge, "left_semi").distinct()
+    rows = rest.withColumn("sampled", F.lit(False)).unionByName(there.withColumn("sampled", F.lit(True)))
+
+    def run(batches):
+        parts = [batch.to_pydict() for batch in batches]
+        rows = [(e, s) for p in parts for e, s in zip(zip(*(p[c] for c in edge), strict=True), p["sampled"], strict=True)]
+        live = DynamicForest.of(n, [e for e, _ in rows])
+        weights = [live.weight()]
+        for change in (live.delete, live.insert):
+            for e, sampled in rows:
+                if sampled:
+                    change(e)
+            weights.append(live.weight())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*weights, sum(s for _, s in rows))], ["before", "without", "after", "n_sampled"])
+
+    return rows.repartition(1).mapInArrow(run, "before bigint, without bigint, after bigint, n_sampled bigint")

@@ -39,3 +39,17 @@ def random_graph(seed):
     r = random.Random(seed)
     n, t, m, w = r.randint(2, 8), r.randint(1, 10), r.randint(0, 50), r.choice([2, 5, 1000])
     return n, t, sorted({(r.randrange(n), r.randrange(n), r.randrange(w), r.randrange(t)) for _ in range(m)})
+
+
+def naive_staircase(edges, total):
+    """The staircase from the forests of all windows."""
+    out = {}
+    local = [e for t in range(total) for e in window(edges, t, t)]
+    for te in range(total):
+        found = [set(window(edges, a, te)) for a in range(te + 1)]
+        for e in local:
+            if e[3] <= te:
+                s = max((a for a in range(e[3] + 1) if e not in found[a]), default=-1)
+                if not out.get(e) or out[e][-1][0] < s:
+                    out.setdefault(e, []).append((s, te))
+    return out

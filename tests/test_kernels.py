@@ -2,10 +2,10 @@ import random
 
 import numpy as np
 import pytest
-from graphs_by_hand import M1, M1_STEPS, M2, M2_STEPS, kruskal, random_graph, window
+from graphs_by_hand import M1, M1_STEPS, M2, M2_STEPS, kruskal, naive_staircase, random_graph, window
 
 from sylva.operators.forest import spanning_mask
-from sylva.operators.staircase import naive_staircase, scan
+from sylva.operators.staircase import scan
 from sylva.streaming.dynamic import INVALID, REPLACED, STRUCTURAL, UNCHANGED, DynamicForest
 from sylva.streaming.sliding import Alive
 
@@ -87,6 +87,37 @@ def test_dynamic_forest_under_random_operations(seed):
         assert forest.components() == n - len(kruskal(there))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_forest_of_a_graph_at_hand(seed):
+    r = random.Random(seed)
+    n, _, edges = random_graph(2000 + seed)
+    forest = DynamicForest.of(n, [*edges, *edges[:3]])
+    assert set(forest.forest()) == set(kruskal(edges)) and str(forest).count("\n") == max(0, len(kruskal(edges)) - 1)
+    there = {e for e in edges if e[0] != e[1]}
+    assert forest.edges == there
+    for e in r.sample(sorted(there), len(there) // 2):
+        forest.delete(e)
+        there.discard(e)
+        assert set(forest.forest()) == set(kruskal(there))
+
+
+def test_deletions_look_at_few_edges():
+    """A heavy edge's replacement search stops at the first edges that are no better, however many there are."""
+    n, r = 60, random.Random(1)
+    edges = sorted({(a, b, r.randrange(10**6), t) for t in range(100) for a, b in [r.sample(range(n), 2) for _ in range(200)]})
+    forest = DynamicForest.of(n, edges)
+    for e in forest.forest()[:30]:
+        forest.delete(e)
+    assert forest.work["looked at"] < len(edges) / 10 and forest.work["deleted"] == 30
+
+
+def test_ordered_edges_are_not_sorted():
+    _, _, edges = random_graph(3)
+    rows = array(sorted(edges, key=lambda e: (e[2], -e[3], e[0], e[1])))
+    zero = np.zeros(len(rows), int)
+    assert (spanning_mask(zero, *rows.T, ordered=True) == spanning_mask(zero, *rows.T)).all()
+
+
 def test_codes_of_edges_that_do_not_fit():
     forest = DynamicForest(2)
     assert forest.insert((0, 0, 1, 0))[0] == INVALID

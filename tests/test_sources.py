@@ -33,6 +33,22 @@ def test_binary_formats(spark, tmp_path):
     assert rows(files.read_binary_adjacency(spark, write(tmp_path / "d.bin", adjacency))) == [(0, 1, 5), (0, 1, 6), (0, 1, 7), (1, 0, 5)]
 
 
+def test_written_binary_files_and_stream(spark, tmp_path):
+    df = spark.createDataFrame(M1, E).repartition(3)
+    files.write_binary_graph(df, str(tmp_path / "graph"))
+    assert rows(files.read_binary_graph(spark, str(tmp_path / "graph"))) == sorted(M1, key=repr)
+    files.write_binary_graph(df.limit(0), str(tmp_path / "empty"))
+    assert list((tmp_path / "empty").iterdir()) == []
+    files.write_binary_graph(df, str(tmp_path / "graph"))
+    assert rows(files.read_binary_graph(spark, str(tmp_path / "graph"))) == sorted(M1 * 2, key=repr)
+    events = df.selectExpr("ts as t", "weight", "src", "dest")
+    files.write_binary_stream(events, str(tmp_path / "events"), 4)
+    assert rows(files.read_binary_stream(spark, str(tmp_path / "events"))) == rows(events)
+    query = files.stream_events(spark, str(tmp_path / "events")).writeStream.format("memory").queryName("events_read").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert rows(spark.table("events_read")) == rows(events) and len(query.recentProgress) >= len(list((tmp_path / "events").iterdir()))
+
+
 def test_text_graph_round_trip_and_bad_lines(spark, tmp_path):
     files.write_text_graph(spark.createDataFrame(M1, E), str(tmp_path / "out"))
     assert rows(files.read_text_graph(spark, str(tmp_path / "out"))) == sorted(M1, key=repr)

@@ -69,10 +69,31 @@ def test_saved_index_answers_as_the_one_built(spark, tmp_path):
     expected = rows(query.online(df, asked, total).select(*query.RESULT))
     for strategy in ("segment", "segment_start", "quadrant", "staircase", "sorted"):
         assert rows(loaded.query(asked, strategy).select(*query.RESULT)) == expected
+        again = query.agreement(loaded.query(asked, strategy), query.online(df, asked, total)).collect()
+        assert all(r.n_left == r.n_right == r.n_both and r.weight_left == r.weight_right for r in again)
+    short = query.agreement(query.online(df, asked, total).where("window_id > 0 or src > 0"), query.online(df, asked, total)).where("n_left < n_both or n_left <> n_right").count()
+    assert short == query.differences(query.online(df, asked, total).where("window_id > 0 or src > 0"), query.online(df, asked, total)).select("window_id").distinct().count()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         index.load(spark, str(tmp_path / "none"))
 
 
+def test_saved_indexes_are_pruned_by_the_windows(spark, tmp_path):
+    """Folders are chosen by the windows' nodes: the plan has a dynamic partition filter, and a query reads fewer files than there are."""
+    edges = [(i % 5, (i * 3 + 1) % 5, (i * 37) % 11, i % 64) for i in range(900)]
+    steps = staircase.staircase(table(spark, edges), 2, t_total=64)
+    index.save(steps, 64, str(tmp_path / "index"))
+    spark.createDataFrame([(0, 40, 41)], "window_id bigint, ts int, te int").write.parquet(str(tmp_path / "windows"))
+    loaded, asked = index.load(spark, str(tmp_path / "index")), spark.read.parquet(str(tmp_path / "windows"))
+    expected = sorted(((0, *e) for e in window(edges, 40, 41)), key=repr)
+    for strategy, name in (("segment", "rect_nodes"), ("segment_start", "rect_start_nodes"), ("quadrant", "rect_cells"), ("staircase", "rects")):
+        found = loaded.query(asked, strategy)
+        assert rows(found.select(*query.RESULT)) == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan, strategy
+    sizes = {r.name: r for r in index.sizes(spark, str(tmp_path / "index")).collect()}
+    assert set(sizes) == set(index.TABLES) and all(r.n_files > 1 and r.n_bytes > 0 for r in sizes.values())
+
+
 def test_plans_are_equi_joins(spark):
     built = query.Index(staircase.rectangles(staircase.staircase(table(spark, M1))), 4)
     for strategy in ("segment", "segment_start", "quadrant", "staircase", "sorted"):

@@ -86,4 +86,15 @@ def test_reinserted_sample_changes_nothing(spark):
     n, _, edges = random_graph(5)
     df = spark.createDataFrame([(min(a, b), max(a, b), w, t) for a, b, w, t in edges if a != b], SCHEMA).distinct()
     out = dynamic.reinsert_sample(df, systematic_sample(df, 5), n).first()
-    assert out.before == out.after == sum(e[2] for e in kruskal([tuple(r) for r in df.collect()])) and out.n_sampled == 5
+    every, some = {tuple(r) for r in df.collect()}, {tuple(r) for r in systematic_sample(df, 5).collect()}
+    weight = lambda edges: sum(e[2] for e in kruskal(edges))
+    assert tuple(out) == (weight(every), weight(every - some), weight(every), 5)
+
+
+def test_sliding_operations_are_a_sort(spark):
+    events = spark.range(20_000).selectExpr("0L as graph_id", "id as seq", "cast(id / 7 as int) as t", "0 as src", "1 as dest", "1 as weight")
+    made = dynamic.sliding_operations(events, 50)
+    found = {(r.op, r.n) for r in made.groupBy("op").count().withColumnRenamed("count", "n").collect()}
+    last = (20_000 - 1) // 7
+    assert found == {("insert", 20_000), ("delete", sum(i // 7 + 50 < last for i in range(20_000)))}
+    assert "unboundedfollowing" not in made._jdf.queryExecution().optimizedPlan().toString().lower().split("min(seq")[1][:200]
