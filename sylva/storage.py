@@ -52,10 +52,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_in = path
     return back
