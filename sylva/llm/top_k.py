@@ -9,7 +9,6 @@ bounds of each query, then those whose upper bound is no less than the k-th exac
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import stored
 
 SCALE = 1024
 CELLS = 256
@@ -27,8 +26,6 @@ CELLS = 256
 QUERY_BLOCK = 4096
 #: A task looks at this many rows of cells at a time, and at this many queries of a block.
 CHUNK, QUERIES = 32_768, 128
-#: Up to this many vectors to read are broadcast by their ids (about 50 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 _BOUNDS = "query_id bigint, vec_id bigint, lower double, upper double"
 
 
@@ -99,7 +96,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     real = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & real)
     double = F.col("vector").cast("array<double>").alias("vector")
-    queries = stored(rows.where(F.col("vec_id") % every == 0).select("vec_id", double).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", double).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = stored(queries, "queries", maxRecordsPerFile=QUERY_BLOCK)
     rows = _few_copies(rows, k).select("vec_id", double)
     cells = _ranges(rows)
     found = scan(approximation(rows, cells), queries, cells, k)
@@ -116,11 +114,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     best = stored(found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper")), "bounds")
     left = best.join(floor(first(best, "lower"), "lower"), "query_id", "left").where("floor is null or upper >= floor")
     left = stored(left.select("query_id", "vec_id", "upper"), "left")
-    begin = stored(first(left, "upper").select("query_id", "vec_id"), "begin")
+    begin = first(left, "upper").select("query_id", "vec_id")
     scored = stored(exact(begin, rows, queries), "exact")
     rest = left.join(floor(scored, "score"), "query_id", "left").where("floor is null or upper >= floor")
     rest = rest.select("query_id", "vec_id").join(begin, ["query_id", "vec_id"], "left_anti")
-    both = scored.unionByName(exact(stored(rest, "rest"), rows, queries))
+    both = scored.unionByName(exact(rest, rows, queries))
     return first(both, "score").select("query_id", "rank", "vec_id", "score")
 
 
@@ -178,25 +176,6 @@ def approximation(rows: DataFrame, cells: dict[int, Cells]) -> DataFrame:
     return stored(rows.mapInArrow(run, "n int, ids binary, codes binary"), "cells")
 
 
-def _query_files(queries: DataFrame) -> list[str]:
-    """The queries in files of at most QUERY_BLOCK vectors in the shared folder; returns the paths.
-
-    Names are of one attempt each, and only those that the job reports are read.
-    """
-    folder = new_folder(queries.sparkSession, "query-blocks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, QUERY_BLOCK):
-                path = f"{folder}/{uuid.uuid4().hex}.parquet"
-                store, name = _filesystem(path)
-                store.create_dir(name.rpartition("/")[0])
-                pq.write_table(pa.Table.from_batches([batch.slice(a, QUERY_BLOCK)]), name, filesystem=store)
-                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
-
-    return [r["path"] for r in stored(queries.mapInArrow(run, "path string"), "query-files").collect()]  # a path a block
-
-
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
@@ -204,10 +183,10 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 def scan(approximated: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
     """(query_id, vec_id, lower, upper) of the candidates that their chunk's bounds don't rule out.
 
-    Every row of cells is read once and meets all queries, file by file, so a task's memory does not
-    grow with the queries.
+    Every row of cells is read once and meets all queries, file by file of their stored table, so a
+    task's memory does not grow with the queries.
     """
-    paths = _query_files(queries)
+    paths = queries.inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: tuple[str, dict] = ("", {})
@@ -233,10 +212,11 @@ def scan(approximated: DataFrame, queries: DataFrame, cells: dict[int, Cells], k
 
 
 def exact(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of the stored pairs; of the exact vectors only those of their candidates leave the scan."""
-    ids = stored(pairs.select("vec_id").distinct(), "read-ids")
-    few = ids.count() <= BROADCAST_IDS
-    read = rows.join(F.broadcast(ids) if few else ids, "vec_id", "left_semi")
+    """(query_id, vec_id, score) of the pairs; of the exact vectors only those of their candidates leave the scan.
+
+    Whether the ids are broadcast is Spark's choice by the size of the table that they come from.
+    """
+    read = rows.join(pairs.select("vec_id").distinct(), "vec_id", "left_semi")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     both = pairs.select("query_id", "vec_id").join(read, "vec_id").join(asked, "query_id").where(F.size("query") == F.size("vector"))
 

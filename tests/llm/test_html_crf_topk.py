@@ -255,13 +255,16 @@ def test_queries_in_several_blocks(spark, monkeypatch):
 
 
 def test_vectors_with_clashing_columns_of_mixed_size_and_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(top_k, "BROADCAST_IDS", 0)
     monkeypatch.setattr(top_k, "CHUNK", 64)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     r = random.Random(9)
     rows = [(i, [r.choice([-1e3, -1.0, 0.0, 1e-3, 1e6]) for _ in range(r.choice([3, 4]))]) for i in range(900)]
     made = [(*x, 1, "v", 2.0, [1.0], 3, "n") for x in rows]
     df = spark.createDataFrame(made, "vec_id bigint, embedding array<double>, query_id int, codes string, score double, vector array<double>, place int, ids string")
-    found = sorted(map(tuple, top_k.search(df).collect()))
+    try:
+        found = sorted(map(tuple, top_k.search(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == plain_top(rows)
 
 
