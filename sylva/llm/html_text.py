@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, stored
+from .common import slices
 
 # Names of HTML.
 BLOCK_TAGS = frozenset(
@@ -83,8 +83,8 @@ NEXT, SIBLING = 1.5, 1.5
 HEADING = 0.6
 #: What it costs, a block, that content lies in a boilerplate region, that boilerplate lies in a content region, and that a content region lies in a boilerplate one.
 INSIDE, OUTSIDE, NESTED = 6.0, 2.0, 4.0
-#: The model is learned from about this many pages, and from about this many of their blocks.
-FIT_PAGES, FIT_BLOCKS = 500, 20_000
+#: The model is learned from about this many pages, and from this many blocks of each at most, spread over the page.
+FIT_PAGES, FIT_BLOCKS = 300, 64
 _MARKS = re.compile(r"[.,;:!?]")
 
 
@@ -431,8 +431,8 @@ def fit_model(x: np.ndarray, y: np.ndarray, decay: float = 10.0) -> tuple[float,
 def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES, fit_blocks: int = FIT_BLOCKS) -> tuple[float, ...]:
     """The text model from blocks of clear evidence in about ``fit_pages`` pages, chosen by a hash.
 
-    About ``fit_blocks`` rows of features come to the driver, chosen by a hash of page and place.
-    Without examples of both kinds the model is DEFAULT.
+    At most ``fit_blocks`` rows of features of a page come to the driver. Without examples of both
+    kinds the model is DEFAULT.
     """
     one = 1 << 30
     source = F.coalesce(pages[html_col].cast("string"), F.lit(""))
@@ -444,14 +444,12 @@ def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES, fi
             for page in batch.column(0).to_pylist():
                 found = blocks(page)
                 clear = [i for i, b in enumerate(found) if not CLEAR_BOILERPLATE < b.holder.weight < CLEAR_CONTENT]
+                clear = clear[:: -(-len(clear) // fit_blocks) or 1]
                 if clear:
                     x, y = features(found)[clear], [found[i].holder.weight > 0 for i in clear]
                     yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y)], ["x", "y"])
 
-    examples = stored(chosen.mapInArrow(run, "x array<double>, y boolean"), "html-examples")
-    rate = int(one * min(1.0, fit_blocks / max(1, examples.count())))
-    rows = examples.where(F.pmod(F.xxhash64(F.lit(4), "x", F.monotonically_increasing_id()), F.lit(one)) < rate).collect()
-    rows.sort()
+    rows = sorted(chosen.mapInArrow(run, "x array<double>, y boolean").collect())  # fit_pages times fit_blocks rows
     if not rows:
         return DEFAULT
     return fit_model(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
