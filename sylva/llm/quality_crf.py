@@ -29,7 +29,7 @@ FIT_DOCS, FIT_CHARS, LINE_COST = 4000, 10_000_000, 100
 #: How much of a document's text, by length, its label says is good: no less in a good one, no more in a bad one.
 GOOD_SHARE, BAD_SHARE = 0.9, 0.5
 #: Rounds of expectation and maximisation.
-EM_ROUNDS = 3
+EM_ROUNDS = 2
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "mark": b"#*$%&<>@^~_=+\\{}", "pipe": b"|",
     "shout": b"!", "stop": b".,;:?'\"-()", "space": b" \t\r\v\f", "wide": bytes(range(0xC0, 0x100)), "rest": bytes(range(0x80, 0xC0)),
@@ -207,7 +207,7 @@ def constrained(unary: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, ch
     fits = lambda good: np.where(labels == 1, share(good) >= GOOD_SHARE, share(good) <= BAD_SHARE)
     low, high = np.zeros(len(labels)), np.full(len(labels), 64.0)
     high[fits(forward_backward(unary, per_text, change)[0])] = 0
-    for _ in range(12):
+    for _ in range(8):
         middle = (low + high) / 2
         enough = fits(forward_backward(unary + np.repeat(sign * middle, per_text) * part, per_text, change)[0])
         low, high = np.where(enough, low, middle), np.where(enough, middle, high)
@@ -215,7 +215,7 @@ def constrained(unary: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, ch
     return good, pairs
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, decay: float = 1.0, rounds: int = 40) -> Crf:
+def fit_texts(texts: list[str], labels: np.ndarray, decay: float = 1.0, rounds: int = 25) -> Crf:
     """Latent line labels by EM, each maximisation by L-BFGS with a squared penalty; then the two calibration numbers by Newton steps."""
     features, lengths, per_text = line_features(texts)
     mean, scale = features.mean(0), features.std(0) + 1e-6
