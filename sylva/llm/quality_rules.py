@@ -72,20 +72,21 @@ def n_repeat_words(found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Measure:
-    """``of`` the text and of the measures it needs, which come before it in MEASURES."""
+    """``of`` the text and of the measures it needs, which come before it in MEASURES; a ``free`` one costs nothing beyond those."""
 
     of: Callable[[Column, dict[str, Column]], Column]
     needs: tuple[str, ...] = ()
+    free: bool = False
 
 
 #: Every measure a rule can use, and the parts that several share.
 MEASURES: dict[str, Measure] = {
     "words": Measure(lambda t, m: words(t)),
     "lines": Measure(lambda t, m: worded_lines(t)),
-    "n_words": Measure(lambda t, m: F.size(m["words"]).cast("bigint"), ("words",)),
+    "n_words": Measure(lambda t, m: F.size(m["words"]).cast("bigint"), ("words",), free=True),
     "word_chars": Measure(lambda t, m: F.length(F.array_join(m["words"], "")).cast("bigint"), ("words",)),
     "n_symbols": Measure(lambda t, m: removed(t, SYMBOLS)),
-    "n_lines": Measure(lambda t, m: F.size(m["lines"]).cast("bigint"), ("lines",)),
+    "n_lines": Measure(lambda t, m: F.size(m["lines"]).cast("bigint"), ("lines",), free=True),
     "n_dup_lines": Measure(lambda t, m: (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("bigint"), ("lines",)),
     "n_repeat_words": Measure(lambda t, m: n_repeat_words(m["words"]), ("words",)),
     "n_capitals": Measure(lambda t, m: removed(t, r"\p{Lu}+")),
@@ -167,8 +168,8 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
 
     seconds(None)
     floor = seconds(None)
-    whole = {x: max(1e-4, seconds(x) - floor) for x in names}
-    own = {x: max(1e-4, whole[x] - sum(whole[y] for y in MEASURES[x].needs)) for x in names}
+    whole = {x: max(1e-4, seconds(x) - floor) for x in names if not MEASURES[x].free}
+    own = {x: 1e-4 if MEASURES[x].free else max(1e-4, whole[x] - sum(whole[y] for y in MEASURES[x].needs)) for x in names}
     order: list[Rule] = []
     known: list[str] = []
     left = list(range(len(rules)))
