@@ -25,6 +25,8 @@ PROFILE = 300
 FIT_DOCS = 5000
 #: keep() rejects texts whose best language is less similar than LEAST times what LOW of the learned documents stay below.
 LOW, LEAST = 0.01, 0.6
+#: N-grams take about 130 bytes a character while they are sorted, so texts are taken in slices of this many (a longer one alone).
+SLICE_CHARS = 500_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SHIFT = 21  # bits of a code point
 _BLANK = 32
@@ -120,7 +122,7 @@ def _profiles(chosen: DataFrame | None, profile: int) -> Profiles:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts]):
+            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
                 for lang in sorted(set(langs[a:b])):
                     keys, n = np.unique(grams([t for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
@@ -135,19 +137,29 @@ def _profiles(chosen: DataFrame | None, profile: int) -> Profiles:
 
 
 def predict(docs: DataFrame, model: Profiles, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all by default) in a struct ``row``, with lang_pred and score; a null text, or one without a letter, is "und" with score 0."""
+    """The columns ``carry`` (all by default) in a struct ``row``, with lang_pred and score; a null text, or one without a letter, is "und" with score 0.
+
+    The text goes to Python once and, if it is carried, comes back as it is.
+    """
+    names = docs.columns if carry is None else carry
+    back = text_col in names
     shared = docs.sparkSession.sparkContext.broadcast((model.profiles, model.size, model.floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(*shared.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(x) for x in texts]):
+            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
                 langs, scores = zip(*own.predict(texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+                columns = {"rest": batch.column(0).slice(a, b - a), **({"text": batch.column(1).slice(a, b - a)} if back else {}), "lang_pred": pa.array(langs), "score": pa.array(scores, pa.float64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    rows = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double"))
+    rest = F.struct(F.lit(True).alias("_"), *(docs[c] for c in names if c != text_col)).alias("rest")
+    rows = docs.select(rest, docs[text_col].cast("string").alias("text"))
+    schema = StructType([rows.schema["rest"], *([rows.schema["text"]] if back else [])]).add("lang_pred", "string").add("score", "double")
+    out = rows.mapInArrow(run, schema)
+    row = F.struct(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in names)).alias("row")
+    return out.select(row, "lang_pred", "score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,7 +182,7 @@ def least_similarity(chosen: DataFrame, model: Profiles) -> float:
         own = Profiles(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts]):
+            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
                 keys, counts = grams(texts[a:b])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 like = [float(own.similarity(keys[i:j]).max()) for i, j in zip(ends[:-1], ends[1:], strict=True) if i < j]
