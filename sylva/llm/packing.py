@@ -22,7 +22,7 @@ from .library_tokens import library_ids
 
 #: Ranks are given within hash buckets of a length of this many pieces, or the root of their number if that
 #: is more: neither a bucket nor the list of a length's buckets then is large, even if all pieces have one length.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 250
 PLAN = "length int, rank_from bigint, rank_to bigint, first_sequence bigint, per_sequence bigint, first_offset bigint"
 
 
