@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import lean, text_slices
 
 UNDETERMINED = "und"
 PROFILE = 300
@@ -121,13 +121,13 @@ def _profiles(chosen: DataFrame | None, profile: int) -> Profiles:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
+            langs = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), chars=SLICE_CHARS):
                 for lang in sorted(set(langs[a:b])):
-                    keys, n = np.unique(grams([t for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang])[0], return_counts=True)
+                    keys, n = np.unique(grams([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
-    totals = chosen.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = chosen.mapInArrow(lean(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = totals.withColumn("place", place).where(F.col("place") <= profile).orderBy("lang", "place").collect()
     found: dict[str, list[int]] = {}
@@ -148,16 +148,15 @@ def predict(docs: DataFrame, model: Profiles, text_col: str = "text", carry: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(*shared.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
-                langs, scores = zip(*own.predict(texts[a:b]), strict=True)
+            for a, b, texts in text_slices(batch.column(1), chars=SLICE_CHARS):
+                langs, scores = zip(*own.predict(texts), strict=True)
                 columns = {"rest": batch.column(0).slice(a, b - a), **({"text": batch.column(1).slice(a, b - a)} if back else {}), "lang_pred": pa.array(langs), "score": pa.array(scores, pa.float64())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rest = F.struct(F.lit(True).alias("_"), *(docs[c] for c in names if c != text_col)).alias("rest")
     rows = docs.select(rest, docs[text_col].cast("string").alias("text"))
     schema = StructType([rows.schema["rest"], *([rows.schema["text"]] if back else [])]).add("lang_pred", "string").add("score", "double")
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     row = F.struct(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in names)).alias("row")
     return out.select(row, "lang_pred", "score")
 
@@ -181,14 +180,13 @@ def least_similarity(chosen: DataFrame, model: Profiles) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(*shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], chars=SLICE_CHARS):
-                keys, counts = grams(texts[a:b])
+            for _, _, texts in text_slices(batch.column(1), chars=SLICE_CHARS):
+                keys, counts = grams(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 like = [float(own.similarity(keys[i:j]).max()) for i, j in zip(ends[:-1], ends[1:], strict=True) if i < j]
                 yield pa.RecordBatch.from_arrays([pa.array(like, pa.float64())], ["like"])
 
-    low = chosen.mapInArrow(run, "like double").agg(F.percentile_approx("like", LOW)).first()[0]
+    low = chosen.mapInArrow(lean(run), "like double").agg(F.percentile_approx("like", LOW)).first()[0]
     return max(LEAST * (low or 0.0), 1e-9)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import lean, stored, text_slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -158,9 +158,8 @@ def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices([len(x) for x in texts], rows=128, chars=500_000):
-                sets = shingles(texts[a:b])
+            for a, b, texts in text_slices(batch.column(2), rows=128, chars=500_000):
+                sets = shingles(texts)
                 n = np.array([len(s) for s, _ in sets])
                 keys, owners = all_keys(sets, bands, rows)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(sets)))]).astype(np.int32)
@@ -168,7 +167,7 @@ def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int32()), lists], ["doc_id", "md5", "n", "bands"])
 
     source = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
-    out = source.mapInArrow(run, "doc_id bigint, md5 binary, n int, bands array<bigint>")
+    out = source.mapInArrow(lean(run), "doc_id bigint, md5 binary, n int, bands array<bigint>")
     return stored(out.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 
@@ -177,9 +176,8 @@ def _sets(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts]):
-                sets = [s for s, _ in shingles(texts[a:b])]
+            for a, b, texts in text_slices(batch.column(1)):
+                sets = [s for s, _ in shingles(texts)]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["node", "shingles"])
@@ -189,7 +187,7 @@ def _sets(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     source = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
     found = source.join(wanted, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return found.select("node", "text").mapInArrow(lean(run), "node bigint, shingles array<bigint>")
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -204,8 +202,8 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stored(edges, "edges")
     if edges.count() <= local_edges:
-        return stored(edges.repartition(1).mapInArrow(_contract, "u bigint, v bigint"), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    edges = stored(edges.mapInArrow(_contract, "u bigint, v bigint").distinct(), "edges")
+        return stored(edges.repartition(1).mapInArrow(lean(_contract), "u bigint, v bigint"), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = stored(edges.mapInArrow(lean(_contract), "u bigint, v bigint").distinct(), "edges")
     mark = _fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import lean, stored, text_slices
 from .library_tokens import library_ids
 
 #: Ranks are given within hash buckets of a length of this many pieces, or the root of their number if that
@@ -73,10 +73,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_ids(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts]):
+            for a, _, texts in text_slices(batch.column(1)):
                 rows: list[tuple] = []
-                for row, ids in enumerate(encoder.encode(texts[a:b]), a):
+                for row, ids in enumerate(encoder.encode(texts), a):
                     ids = np.append(ids, end_id).astype("<u4")
                     cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
                     rows += [(row, k, i, j - i, zlib.crc32(ids[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
@@ -85,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return texts.mapInArrow(lean(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(parts: DataFrame, size: int) -> DataFrame:
