@@ -326,13 +326,17 @@ def _stream(edges: DataFrame) -> DataFrame:
     return edges.withColumn("graph_id", (F.col("dest") % 2).cast("bigint")).select("graph_id", seq.alias("seq"), F.col("ts").alias("t"), "src", "dest", "weight")
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamic.replay(dynamic.sliding_operations(_stream(graphs.trade(spark, sf_dir)), 4), NATIONS)
+def _thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream's edges that may be in a forest while a window of four quarters slides over them, and counts of the others."""
+    edges = stored(graphs.trade(spark, sf_dir).withColumn("graph_id", (F.col("dest") % 2).cast("bigint")), "trade")
+    return stored(dynamic.thin(edges, 4, NATIONS), "thinned")
 
 
 def dynamic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result codes of a replay of the whole edge stream in which edges slide out after four quarters."""
-    return dynamic.code_counts(_replayed(spark, sf_dir))
+    thinned = _thinned(spark, sf_dir)
+    made = dynamic.replay(dynamic.sliding_operations(dynamic.events_of(thinned), 4), NATIONS)
+    return dynamic.code_counts(made).unionByName(dynamic.idle_counts(thinned)).groupBy("op", "code").agg(F.sum("n").alias("n"))
 
 
 def dynamic_forest_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:

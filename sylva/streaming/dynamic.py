@@ -10,12 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.forest import forest, spanning_mask
+from ..operators.forest import forest, keyed_forest, spanning_mask
 from ..storage import stored
 
 #: Result codes: the edge does not fit the graph; two trees joined, or a tree fell apart; the forest is the same; one edge replaced another.
 INVALID, STRUCTURAL, UNCHANGED, REPLACED = -1, 0, 1, 2
 
+#: thin() cuts time into at most this many spans, and fewer where their forests together would have more rows than the second figure.
+SPANS, FOREST_ROWS = 200, 100_000
+#: A window covers about this many spans: each of them is a test of an edge.
+WINDOW_SPANS = 8
+
 Edge = tuple[int, int, int, int]
 
 
@@ -241,6 +246,140 @@ def sliding_operations(events: DataFrame, width: int, drain: bool = False) -> Da
     return ranked.select("graph_id", place.cast("bigint").alias("seq"), "op", "src", "dest", "weight", F.col("t").alias("ts"))
 
 
+class _Links:
+    """Whether edges lighter than a given one join its ends, in many forests at once: trees of unions by size, whose links bear the edge's rank."""
+
+    def __init__(self, size: int) -> None:
+        self.up, self.rank = np.arange(size), np.full(size, np.iinfo(np.int64).max)
+
+    @classmethod
+    def of(cls, size: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> _Links:
+        """From forest edges between the vertices of all forests, in ascending order of rank."""
+        made = cls(size)
+        up, held = made.up.tolist(), [1] * size
+        for x, y, r in zip(a.tolist(), b.tolist(), rank.tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if held[x] > held[y]:
+                x, y = y, x
+            up[x], made.rank[x] = y, r
+            held[y] += held[x]
+        made.up = np.array(up, np.int64)
+        return made
+
+    def _top(self, x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        while (lighter := self.rank[x] < rank).any():
+            x = np.where(lighter, self.up[x], x)
+        return x
+
+    def joined(self, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return self._top(a, rank) == self._top(b, rank)
+
+
+def _rank(weight: np.ndarray, ts: np.ndarray) -> np.ndarray:
+    """A number that is less only if the edge comes earlier in the canonical order; edges that differ in their ends alone have the same."""
+    return weight.astype(np.int64) * (1 << 32) - ts
+
+
+_THIN = "graph_id bigint, ts int, src int, dest int, weight int, idle boolean, gone boolean, n bigint"
+_THIN_NAMES = ["graph_id", "ts", "src", "dest", "weight", "idle", "gone", "n"]
+
+
+def thin(edges: DataFrame, width: int, n: int, spans: int = SPANS) -> DataFrame:
+    """The edges (graph_id, src, dest, weight, ts) of a stream in the order of ts, weight, src, dest, without most of those that are in no forest while a window of ``width`` slides over it.
+
+    Such edges change nothing: every code of theirs is UNCHANGED, and the forests of the others are
+    those of all. They are returned as counts ``n`` by graph, time and whether they slide out, with
+    ``idle``; the rest are rows with n = 1. Time is cut into spans. The edges that are in the window
+    from a span's start to its end are reduced to their forest, and an edge whose ends lighter edges
+    of it join can't be in any forest within that span; if this is so in all spans of its life, it
+    is idle. All of this is by tasks that each have a part of the edges; the forests of the spans,
+    a few thousand edges, go to all of them. The first edge of each timestamp stays, as evictions
+    follow it. Edges must be distinct; loops and ids beyond n stay. Where the graphs and vertices are
+    too many for two spans, or a window is all there is, every edge stays.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("graph_id", "src", "dest", "weight", "ts")
+    firsts = stored(edges.groupBy("graph_id", "ts").agg(F.min(F.struct("weight", "src", "dest")).alias("first")), "firsts")
+    ends = firsts.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count_distinct("graph_id").alias("graphs")).first()
+    extent = 0 if ends["a"] is None else ends["b"] - ends["a"] + 1
+    most = min(spans, FOREST_ROWS // (max(1, n) * max(1, ends["graphs"])))
+    size = max(1, -(-extent // max(1, most)), -(-width // WINDOW_SPANS))
+    k = -(-extent // size)
+    if most < 2 or k < 2:
+        return edges.select("graph_id", "ts", "src", "dest", "weight", F.lit(False).alias("idle"), F.lit(None).cast("boolean").alias("gone"), F.lit(1).cast("bigint").alias("n"))
+
+    start = ends["a"]
+    span = lambda t: F.floor((t - start) / size).cast("int")
+    latest = {(r["graph_id"], r["span"]): r["last"] for r in firsts.groupBy("graph_id", span(F.col("ts")).alias("span")).agg(F.max("ts").alias("last")).collect()}
+    graphs, calendar = sorted({g for g, _ in latest}), []
+    for i, g in enumerate(graphs):
+        after = k
+        for at in range(k, -1, -1):
+            calendar.append((g, i, at, latest.get((g, at)), after))
+            after = at if (g, at) in latest else after
+    calendar = F.broadcast(spark.createDataFrame(calendar, "graph_id bigint, g int, until int, last int, after int"))
+    # an edge goes out in the span of the first event later than ts + width; it stays beyond the last span if there is none
+    late = F.col("ts").cast("bigint") + width
+    lives = edges.withColumn("until", F.least(F.lit(k), span(late + 1))).join(calendar, ["graph_id", "until"])
+    lives = lives.select("graph_id", *("src", "dest", "weight", "ts"), "g", span(F.col("ts")).alias("a"), F.when(F.col("last") > late, F.col("until")).otherwise(F.col("after")).alias("z"))
+    valid = F.col("src").between(0, n - 1) & F.col("dest").between(0, n - 1)
+    base = k + 1
+    keyed = lives.where(valid & (F.col("z") - F.col("a") > 1)).withColumn("key", (F.col("g").cast("bigint") * base + F.col("a")) * base + F.col("z"))
+    g, a, z = (F.floor(x).cast("int") for x in (F.col("key") / (base * base), F.col("key") / base % base, F.col("key") % base))
+    inner = keyed_forest(keyed, "key").withColumn("span", F.explode(F.sequence(a + 1, z - 1))).withColumn("key", g.cast("bigint") * base + F.col("span"))
+    held = keyed_forest(inner, "key").toArrow()
+    slot, src, dest, weight, ts = (held.column(c).to_numpy().astype(np.int64) for c in ("key", "src", "dest", "weight", "ts"))
+    rank = _rank(weight, ts)
+    order_ = np.argsort(rank, kind="stable")
+    links = _Links.of(len(graphs) * base * n, (slot * n + src)[order_], (slot * n + dest)[order_], rank[order_])
+    shared = spark.sparkContext.broadcast((links.up, links.rank))
+
+    def run(batches):
+        links = _Links(0)
+        links.up, links.rank = shared.value
+        for batch in batches:
+            graph, src, dest, weight, ts, g, a, z, first = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            idle = ~first & (src != dest) & (src >= 0) & (src < n) & (dest >= 0) & (dest < n)
+            rank, gone = _rank(weight, ts), z < k
+            at, last = a.astype(np.int64), np.minimum(z, k - 1)
+            open_ = np.flatnonzero(idle)
+            while len(open_):
+                slot = (g[open_].astype(np.int64) * base + at[open_]) * n
+                here = links.joined(slot + src[open_], slot + dest[open_], rank[open_])
+                idle[open_[~here]] = False
+                open_ = open_[here]
+                at[open_] += 1
+                open_ = open_[at[open_] <= last[open_]]
+            rows, stay = np.flatnonzero(idle), ~idle
+            ints = [pa.array(x[stay].astype(np.int32)) for x in (ts, src, dest, weight)]
+            yield pa.RecordBatch.from_arrays([pa.array(graph[stay]), *ints, pa.array(np.zeros(stay.sum(), bool)), pa.array(gone[stay]), pa.array(np.ones(stay.sum(), np.int64))], _THIN_NAMES)
+            if len(rows):
+                kinds, counts = np.unique(np.stack([graph[rows], ts[rows].astype(np.int64), gone[rows].astype(np.int64)]), axis=1, return_counts=True)
+                none = pa.nulls(len(counts), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[0]), pa.array(kinds[1].astype(np.int32)), none, none, none, pa.array(np.ones(len(counts), bool)), pa.array(kinds[2].astype(bool)), pa.array(counts)], _THIN_NAMES)
+
+    first = F.struct("weight", "src", "dest") == F.col("first")
+    rows = lives.join(firsts, ["graph_id", "ts"]).select(F.col("graph_id").cast("bigint").alias("graph_id"), "src", "dest", "weight", "ts", "g", "a", "z", first.alias("first"))
+    return rows.mapInArrow(run, _THIN)
+
+
+def events_of(thinned: DataFrame) -> DataFrame:
+    """The edges that thin() left as events (graph_id, seq, t, src, dest, weight) for sliding_operations()."""
+    seq = F.row_number().over(Window.partitionBy("graph_id").orderBy("ts", "weight", "src", "dest")).cast("bigint")
+    return thinned.where("not idle").select("graph_id", seq.alias("seq"), F.col("ts").alias("t"), "src", "dest", "weight")
+
+
+def idle_counts(thinned: DataFrame) -> DataFrame:
+    """(op, code, n) of the edges that thin() took out."""
+    idle = thinned.where("idle")
+    come = idle.select(F.lit("insert").alias("op"), "n")
+    gone = idle.where("gone").select(F.lit("delete").alias("op"), "n")
+    return come.unionByName(gone).groupBy("op").agg(F.sum("n").alias("n")).select("op", F.lit(UNCHANGED).alias("code"), "n")
+
+
 def window_width(events: DataFrame, width: int) -> int:
     """A width from 1 to 99 is a percentage of the time extent; a negative one is the whole extent."""
     ends = events.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()

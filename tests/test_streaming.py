@@ -4,7 +4,10 @@ import random
 import pytest
 from conftest import rows
 from graphs_by_hand import kruskal, random_graph, window
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from sylva import queries
 from sylva.functions.order import systematic_sample
 from sylva.operators.staircase import rectangles, staircase
 from sylva.streaming import dynamic, sliding
@@ -98,3 +101,24 @@ def test_sliding_operations_are_a_sort(spark):
     last = (20_000 - 1) // 7
     assert found == {("insert", 20_000), ("delete", sum(i // 7 + 50 < last for i in range(20_000)))}
     assert "unboundedfollowing" not in made._jdf.queryExecution().optimizedPlan().toString().lower().split("min(seq")[1][:200]
+
+
+@pytest.mark.parametrize("width", [0, 2, 4, 100])
+def test_thinned_streams_have_the_codes_of_whole_ones(spark, width):
+    r = random.Random(width)
+    times = [0, 1, 2, 3, 4, 7, 8, 15, 16, 17, 18, 19, 40]
+    edges = sorted({(r.randrange(5), r.randrange(6), r.randrange(40), t, g) for g in (3, 8) for t in times[g % 2 :] for _ in range(40)})
+    edges = spark.createDataFrame(edges, "src int, dest int, weight int, ts int, graph_id bigint")  # loops, and ids beyond n = 5
+    seq = F.row_number().over(Window.partitionBy("graph_id").orderBy("ts", "weight", "src", "dest")).cast("bigint")
+    whole = edges.select("graph_id", seq.alias("seq"), F.col("ts").alias("t"), "src", "dest", "weight")
+    expected = rows(dynamic.code_counts(dynamic.replay(dynamic.sliding_operations(whole, width), 5)))
+    thinned = dynamic.thin(edges, width, 5).persist()
+    made = dynamic.code_counts(dynamic.replay(dynamic.sliding_operations(dynamic.events_of(thinned), width), 5))
+    assert rows(made.unionByName(dynamic.idle_counts(thinned)).groupBy("op", "code").agg(F.sum("n").alias("n"))) == expected
+    left = thinned.where("not idle").count()
+    assert left < edges.count() if 0 < width < 100 else left <= edges.count()
+
+
+def test_a_thinned_stream_is_small(spark):
+    edges = queries.graphs.trade(spark, "/root/testdata/sf0.01").withColumn("graph_id", (F.col("dest") % 2).cast("bigint"))
+    assert dynamic.thin(edges, 4, queries.NATIONS).where("not idle").count() < edges.count() / 5
