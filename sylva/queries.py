@@ -345,7 +345,8 @@ def dynamic_forest_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     An edge that goes in joins the forest unless it is rejected, and one that goes out leaves it
     if the forest changes; the edge in the operation's answer goes the other way.
     """
-    operations = stored(dynamic.sliding_operations(_stream(graphs.trade(spark, sf_dir)), 4), "operations")
+    # the edges left out are in no forest; the first of each quarter stays, so no quarter is lost
+    operations = stored(dynamic.sliding_operations(dynamic.events_of(_thinned(spark, sf_dir)), 4), "operations")
     made = dynamic.replay(operations, NATIONS).select("graph_id", "seq", "code", F.col("weight").alias("other"))
     both = operations.join(made, ["graph_id", "seq"])
     sign = F.when(F.col("op") == "insert", 1).otherwise(-1)

@@ -45,3 +45,11 @@ def test_stream_codes_against_a_plain_replay(spark):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["dynamic_codes", "dynamic_forest_by_quarter"])
+def test_the_replay_in_one_task_gets_a_part_of_the_stream(spark, monkeypatch, name):
+    plain, counts = dynamic.replay, []
+    monkeypatch.setattr(dynamic, "replay", lambda operations, n: counts.append(operations.count()) or plain(operations, n))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert counts and max(counts) < queries.graphs.trade(spark, "/root/testdata/sf0.01").count() / 3
