@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import release
 from .common import lean, stored, text_slices
 
 WORDS = 5
@@ -27,6 +28,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Up to this many documents to verify are broadcast by their 16-byte digests (about 50 MB); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Up to this many pairs to verify are broadcast (about 80 MB), and so are the documents at their first ends.
+BROADCAST_PAIRS = 2_000_000
 #: A shingle of more documents than this is joined by ranges of their sizes.
 FREQUENT = 100
 #: Up to this many links are labelled in one task (a few hundred MB); more by rounds of joins.
@@ -246,12 +249,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity; only their documents' sets are moved, where they are few enough to broadcast their numbers."""
-    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
-    if ends.count() <= BROADCAST_NODES:
-        sets = sets.join(F.broadcast(ends), "node", "left_semi")
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    """The pairs (a, b) whose shingle sets reach the similarity. Where pairs are few enough to broadcast, what moves is a set for each pair and one for each document that is first in a pair."""
+    firsts = stored(pairs.select(F.col("a").alias("node")).distinct(), "ends")
+    held = pairs
+    if pairs.count() <= BROADCAST_PAIRS:
+        firsts, held = F.broadcast(firsts), F.broadcast(pairs)
+    with_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(held, "b")
+    with_a = sets.join(firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    both = with_b.join(with_a, "a")
     found = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return stored(found.where(F.col("shared") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "linked")
 
@@ -293,6 +298,7 @@ def _prefix_pairs(prefix: DataFrame, roots: DataFrame, similarity: float) -> Dat
     most = F.floor((F.col("n") - F.col("p")) * (1 + t) / t + 1e-6).cast("int") - F.col("n")
     dealt = prefix.join(stored(counts, "common"), "s").withColumn("most", most)
     dealt = stored(dealt.select("s", "node", "root", "n", "most", (F.col("root") != F.col("common")).alias("minor"), "frequent"), "dealt")
+    release(prefix)
     # the larger document is x; of two equal sizes, the one with the larger number
     x, y = (dealt.select(*(F.col(c).alias(f"{c}_{side}") for c in dealt.columns)) for side in ("x", "y"))
     y = y.where("most_y >= n_y")
@@ -353,9 +359,11 @@ def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, s
     roots = components(_verified(stored(first.select("a", "b"), "pairs"), sets, similarity))
 
     placed = stored(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    release(full, members)
     spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     placed = stored(placed.join(stored(spread, "spread"), "key", "left_semi"), "rest")
     if placed.isEmpty():
+        release(sets)
         return roots
     prefix, shared = _prefixes(sets, placed.select("node").distinct(), similarity)
 
@@ -366,7 +374,9 @@ def links(docs: DataFrame, digests: DataFrame, nodes: DataFrame, text: Column, s
     second = met.groupBy(F.col("node").alias("b")).agg(F.max("hub").alias("hub")).select((-F.col("hub.minus")).alias("a"), "b")
     linked = lambda pairs: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(stored(pairs, "pairs"), sets, similarity)))
     roots = linked(second)
-    return linked(_prefix_pairs(prefix, roots, similarity))
+    roots = linked(_prefix_pairs(prefix, roots, similarity))
+    release(sets)
+    return roots
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:

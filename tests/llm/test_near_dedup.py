@@ -133,6 +133,23 @@ def test_templates_by_every_way_of_joining(spark, monkeypatch, frequent, broadca
     assert {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, docs)).collect()} == expected
 
 
+@pytest.mark.parametrize("most, joins", [(2_000_000, 1), (0, 3)])
+def test_few_pairs_move_no_more_sets_than_they_need(spark, monkeypatch, most, joins):
+    plans, real = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "BROADCAST_PAIRS", most)
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = spark.createDataFrame([(i, list(range(10 + i % 3))) for i in range(30)], "node bigint, shingles array<bigint>")
+        pairs = spark.createDataFrame([(a, b) for b in range(1, 30) for a in (0, b - 1)], "a bigint, b bigint").distinct()
+        found = {tuple(r) for r in near_dedup._verified(pairs, sets, 0.9).collect()}
+        one = dict(plans)["linked"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(a, b) for b in range(1, 30) for a in (0, b - 1) if abs(a % 3 - b % 3) < 2}
+    assert one.count("SortMergeJoin") == joins
+
+
 def test_ranges_cover_sizes_once(spark):
     F = near_dedup.F
     spans = spark.createDataFrame([(a, a + w, 0.25 * (a + w) + 1) for a in (1, 2, 7, 64, 125, 999) for w in (1, 2, 3, 16, 31, 33)], "a int, b int, c double")
