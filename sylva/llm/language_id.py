@@ -21,12 +21,16 @@ from .common import lean, text_slices
 
 UNDETERMINED = "und"
 PROFILE = 300
-#: At most about this many documents of each language are used to learn its profile.
+#: fit() learns a language's profile from about this many documents at most; keep() learns from all.
 FIT_DOCS = 5000
 #: keep() rejects texts whose best language is less similar than LEAST times what LOW of the learned documents stay below.
 LOW, LEAST = 0.01, 0.6
 #: N-grams take about 130 bytes a character while they are sorted, so texts are taken in slices of this many (a longer one alone).
 SLICE_CHARS = 500_000
+#: A task adds up its counts of n-grams whenever it holds this many of them (16 bytes each).
+HELD_GRAMS = 1_000_000
+#: Similarities are counted in this many steps from 0 to 1.
+STEPS = 10_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SHIFT = 21  # bits of a code point
 _BLANK = 32
@@ -91,10 +95,12 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def learned(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
-    """(lang, text) of the documents that fit() learns from; None without any."""
+def learned(docs: DataFrame, fit_docs: int | None = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
+    """(lang, text) of the documents that fit() learns from, or of all that may be learned from where ``fit_docs`` is None; None without any."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
+    if fit_docs is None:
+        return rows.where(F.col("text").isNotNull()).select("lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -115,17 +121,39 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, profile: int = PROFILE, id_co
     return _profiles(learned(docs, fit_docs, id_col, text_col, lang_col), profile)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of numbers, (numbers, counts) each, added up."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def _profiles(chosen: DataFrame | None, profile: int) -> Profiles:
     if chosen is None:
         return Profiles({}, profile)
 
+    def told(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            keys, n = _added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = {}, 0
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for a, b, texts in text_slices(batch.column(1), chars=SLICE_CHARS):
                 for lang in sorted(set(langs[a:b])):
-                    keys, n = np.unique(grams([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+                    found = np.unique(grams([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang])[0], return_counts=True)
+                    held.setdefault(lang, []).append(found)
+                    waiting += len(found[0])
+                if waiting > HELD_GRAMS:
+                    held = {lang: [_added(parts)] for lang, parts in held.items()}
+                    waiting = sum(len(parts[0][0]) for parts in held.values())
+                    if waiting > HELD_GRAMS // 2:
+                        yield from told(held)
+                        held, waiting = {}, 0
+        yield from told(held)
 
     totals = chosen.mapInArrow(lean(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -174,31 +202,39 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def least_similarity(chosen: DataFrame, model: Profiles) -> float:
-    """The similarity below which a text is in none of the languages: LEAST times a low percentile of learned texts to their best languages. One number comes to the driver."""
+    """The similarity below which a text is in none of the languages: LEAST times what a share LOW of the texts given stay below, each with its best language.
+
+    Every text counts, by its similarity rounded down to one of STEPS; one count a step comes to the driver.
+    """
     shared = chosen.sparkSession.sparkContext.broadcast((model.profiles, model.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(*shared.value)
+        own, counts = Profiles(*shared.value), np.zeros(STEPS + 1, np.int64)
         for batch in batches:
-            for _, _, texts in text_slices(batch.column(1), chars=SLICE_CHARS):
-                keys, counts = grams(texts)
-                ends = np.concatenate([[0], np.cumsum(counts)])
+            for _, _, texts in text_slices(batch.column(0), chars=SLICE_CHARS):
+                keys, sizes = grams(texts)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
                 like = [float(own.similarity(keys[i:j]).max()) for i, j in zip(ends[:-1], ends[1:], strict=True) if i < j]
-                yield pa.RecordBatch.from_arrays([pa.array(like, pa.float64())], ["like"])
+                counts += np.bincount((np.array(like) * STEPS).astype(np.int64), minlength=STEPS + 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["step", "n"])
 
-    low = chosen.mapInArrow(lean(run), "like double").agg(F.percentile_approx("like", LOW)).first()[0]
-    return max(LEAST * (low or 0.0), 1e-9)
+    found = chosen.select("text").mapInArrow(lean(run), "step int, n bigint").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    below = np.cumsum([r["n"] for r in found])
+    low = found[int(np.searchsorted(below, LOW * below[-1]))]["step"] / STEPS if found else 0.0
+    return max(LEAST * low, 1e-9)
 
 
 def keep(docs: DataFrame, min_similarity_share: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose language can be told (not "und") with at least the score given.
 
     A text that is too far from the profiles of all languages is "und" here; see least_similarity.
+    Profiles and this limit are learned from all documents with a language that are not held out.
     Null texts and texts without letters go; of languages with equal distances the first by name is
     taken; repeated rows stay or go together; null ids are no matter; columns are held in a struct, so
     any names will do; an empty table gives an empty one.
     """
-    chosen = learned(docs)
+    chosen = learned(docs, None)
     model = _profiles(chosen, PROFILE)
     if model.langs:
         model.floor = least_similarity(chosen, model)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -192,3 +193,22 @@ def test_texts_that_match_no_profile_are_rejected(spark):
     more = spark.createDataFrame([tuple(i if c == "doc_id" else None if c == "lang" else t if k == n else base[k] for k, c in enumerate(docs.columns)) for i, t in zip(ids, texts, strict=True)], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_the_pipeline_learns_languages_from_all_documents(spark, monkeypatch):
+    texts = [(i, f"plain words about ordinary matters {'and more of them ' * (i % 7)}", "en") for i in range(300)]
+    texts += [(1000 + i, f"ein paar andere Wörter über Dinge {'und noch mehr ' * (i % 5)} q{chr(97 + i % 20)}", "de") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").repartition(3)
+    monkeypatch.setattr(language_id, "FIT_DOCS", 5)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 200)
+    real, seen = language_id.least_similarity, []
+    monkeypatch.setattr(language_id, "least_similarity", lambda chosen, model: seen.append((chosen.count(), model.profiles, real(chosen, model))) or seen[-1][2])
+    assert language_id.keep(docs).count() == 600
+    known = [x for x in texts if zlib.crc32(str(x[0]).encode()) % 5]
+    assert seen[0][0] == len(known)
+    own = {g: language_id.ranked(language_id.grams([t for _, t, x in known if x == g])[0], language_id.PROFILE).tolist() for g in ("de", "en")}
+    assert seen[0][1] == own
+    model = language_id.Profiles(own, language_id.PROFILE)
+    like = sorted(float(model.similarity(language_id.grams([t])[0]).max()) for _, t, _ in known)
+    low = like[math.ceil(language_id.LOW * len(like)) - 1]
+    assert abs(seen[0][2] - language_id.LEAST * low) < 1e-4
