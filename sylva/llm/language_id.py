@@ -25,10 +25,10 @@ PROFILE = 300
 FIT_DOCS = 5000
 #: keep() rejects texts whose best language is less similar than LEAST times what LOW of the learned documents stay below.
 LOW, LEAST = 0.01, 0.6
-#: N-grams take about 130 bytes a character while they are sorted, so texts are taken in slices of this many (a longer one alone).
-SLICE_CHARS = 500_000
+#: N-grams take about 70 bytes a character while they are made, so texts are taken in slices of this many (a longer one alone).
+SLICE_CHARS = 100_000
 #: A task adds up its counts of n-grams whenever it holds this many of them (16 bytes each).
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 300_000
 #: Similarities are counted in this many steps from 0 to 1.
 STEPS = 10_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -40,14 +40,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of all texts as numbers, grouped by text, and how many each text has."""
     plain = [f" {_NOT_LETTERS.sub(' ', x.lower()).strip()} " for x in texts]
     chars = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32).astype(np.int64)
-    of = np.repeat(np.arange(len(texts)), [len(x) for x in plain])
     blank = chars == _BLANK
-    two = chars[:-1] << _SHIFT | chars[1:]
-    three = two[:-1] << _SHIFT | chars[2:]
-    picks = ((chars, ~blank, of), (two, ~(blank[:-1] & blank[1:]), of[:-1]), (three, ~blank[1:-1], of[:-2]))
-    keys, owners = np.concatenate([k[p] for k, p, _ in picks]), np.concatenate([o[p] for _, p, o in picks])
-    order = np.argsort(owners, kind="stable")
-    return keys[order], np.bincount(owners, minlength=len(texts))
+    keys, some = np.empty((len(chars), 3), np.int64), np.zeros((len(chars), 3), bool)  # those that begin at each character
+    keys[:, 0] = chars
+    keys[:-1, 1] = chars[:-1] << _SHIFT | chars[1:]
+    keys[:-2, 2] = keys[:-2, 1] << _SHIFT | chars[2:]
+    some[:, 0] = ~blank
+    some[:-1, 1] = ~(blank[:-1] & blank[1:])
+    some[:-2, 2] = ~blank[1:-1]
+    begins = np.cumsum([0, *map(len, plain[:-1])]) if plain else np.empty(0, np.int64)  # no text is empty between its blanks
+    return keys[some], np.add.reduceat(some.sum(1), begins)
 
 
 def ranked(keys: np.ndarray, size: int) -> np.ndarray:

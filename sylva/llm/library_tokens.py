@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -26,19 +26,21 @@ def library_tokenizer(path: str):
 class ByteLevelIds:
     """Ids of a byte-level BPE file. Texts below U+0250 go through tiktoken with the same vocabulary
     and split pattern, which is several times as fast; others, whose character classes can depend on
-    a library's Unicode version, through the tokenizers library. So do texts that tiktoken's regular
-    expressions refuse, which are those with a run of about a million blanks."""
+    a library's Unicode version, through the tokenizers library, which is loaded for the first of them.
+    So do texts that tiktoken's regular expressions refuse, which are those with a run of about a million blanks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, data: dict) -> None:
         import tiktoken
 
-        self.library = library_tokenizer(path)
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        self.path = path
         special, of = {x["content"]: x["id"] for x in data["added_tokens"]}, byte_chars()
         ranks = {bytes(of[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.vocab_size = self.library.get_vocab_size()
+        self.vocab_size = len(data["model"]["vocab"].keys() | special.keys())
+
+    @cached_property
+    def library(self):
+        return library_tokenizer(self.path)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [self._one(x) for x in texts]
@@ -60,10 +62,8 @@ class WordEndIds:
     Other texts, and texts with a special token, go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, data: dict) -> None:
         self.library = library_tokenizer(path)
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
         vocab, suffix = data["model"]["vocab"], data["model"]["end_of_word_suffix"]
         self.vocab_size = self.library.get_vocab_size()
         self.ends = np.zeros(self.vocab_size, bool)
@@ -96,7 +96,7 @@ class WordEndIds:
 class AnyIds:
     """Ids of any other file, by the tokenizers library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, data: dict) -> None:
         self.library = library_tokenizer(path)
         self.vocab_size = self.library.get_vocab_size()
 
@@ -123,4 +123,4 @@ def library_ids(path: str):
     """The encoder for a tokenizer file: ``encode(texts)`` gives an array of ids for each text."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    return (ByteLevelIds if _byte_level(data) else WordEndIds if _word_end(data) else AnyIds)(path)
+    return (ByteLevelIds if _byte_level(data) else WordEndIds if _word_end(data) else AnyIds)(path, data)

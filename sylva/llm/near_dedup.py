@@ -60,6 +60,11 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _forget() -> None:
+    """Powers take 16 bytes for each byte of the largest slice of texts so far."""
+    _powers[:] = [x[:1].copy() for x in _powers]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for every word ([^ \\t-\\r]+) of all texts, and how many words each text has."""
     raw = b"".join(b"\n%b" % x.encode() for x in texts) + b"\n"
@@ -170,7 +175,7 @@ def _digests(docs: DataFrame, text: Column, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int32()), lists], ["doc_id", "md5", "n", "bands"])
 
     source = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
-    out = source.mapInArrow(lean(run), "doc_id bigint, md5 binary, n int, bands array<bigint>")
+    out = source.mapInArrow(lean(run, _forget), "doc_id bigint, md5 binary, n int, bands array<bigint>")
     return stored(out.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 
@@ -179,7 +184,7 @@ def _sets(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(1)):
+            for a, b, texts in text_slices(batch.column(1), rows=128, chars=500_000):
                 sets = [s for s, _ in shingles(texts)]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
@@ -190,7 +195,7 @@ def _sets(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     source = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
     found = source.join(wanted, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.select("node", "text").mapInArrow(lean(run), "node bigint, shingles array<bigint>")
+    return found.select("node", "text").mapInArrow(lean(run, _forget), "node bigint, shingles array<bigint>")
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:

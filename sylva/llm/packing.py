@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(lean(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return texts.mapInArrow(lean(run, library_ids.cache_clear), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(parts: DataFrame, size: int) -> DataFrame:

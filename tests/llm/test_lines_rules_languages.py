@@ -152,6 +152,21 @@ def test_ngrams_against_brute_force():
         at += n
 
 
+def test_a_slice_of_texts_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sylva.llm.common import text_slices
+
+    texts = pa.array(["some plain words, and a few more " * 60] * 1000)
+    tracemalloc.start()
+    n = sum(language_id.grams(x)[1].sum() for _, _, x in text_slices(texts, chars=language_id.SLICE_CHARS))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1000 * plain_ranks(texts[0].as_py(), 300).total() and most < 20_000_000
+
+
 def test_out_of_place_distance():
     p = language_id.Profiles({"a": [5, 6, 7], "b": [7, 9]}, 3)
     like = dict(zip(p.langs, p.similarity(np.array([7, 7, 7, 6, 6, 4])).tolist(), strict=True))

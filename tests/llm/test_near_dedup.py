@@ -211,3 +211,15 @@ def test_query_on_the_smallest_table(spark):
     from sylva.llm.queries import op10_near_dedup
 
     assert {x.doc_id: x.class_id for x in op10_near_dedup(spark, str(DATA / "sf0.001")).collect()} == brute(docs)
+
+
+def test_idle_workers_forget_powers(spark, monkeypatch):
+    import pyarrow as pa
+
+    made, real = [], near_dedup.lean
+    monkeypatch.setattr(near_dedup, "lean", lambda *a: made.append(real(*a)) or made[-1])
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
+    near_dedup._digests(docs, near_dedup.F.col("text"), 25, 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"x"]), pa.array(["some words " * 1000])], ["doc_id", "md5", "text"])
+    assert sum(x.num_rows for x in made[0](iter([batch]))) == 1
+    assert [len(x) for x in near_dedup._powers] == [1, 1]

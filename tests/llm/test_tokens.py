@@ -239,3 +239,20 @@ def test_packing_of_awkward_tables(spark):
     assert packing.pack(empty(spark), BYTE).count() == 0
     same = documents(spark, ["one text"] * 500)
     assert check_packing(packing.pack(same, BYTE).collect(), [(i, "one text") for i in range(500)])[0] == -(-500 // (1024 // 3))
+
+
+def test_idle_workers_hold_no_tokenizer(spark, monkeypatch):
+    import pyarrow as pa
+
+    made, real = [], packing.lean
+    monkeypatch.setattr(packing, "lean", lambda *a: made.append(real(*a)) or made[-1])
+    packing.pieces(documents(spark, ["a"]), BYTE, 1024, 2)
+    encoder = library_ids(BYTE)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["plain text", "Ünïcödé"])], ["doc_id", "text"])
+    assert sum(x.num_rows for x in made[0](iter([batch]))) == 2
+    assert library_ids.cache_info().currsize == 0
+    # the tokenizers library is there for texts that need it alone
+    encoder = library_ids(BYTE)
+    assert encoder.encode(["plain text"])[0].tolist() == ids_of(BYTE, "plain text") and "library" not in vars(encoder)
+    assert encoder.encode(["漢字"])[0].tolist() == ids_of(BYTE, "漢字") and "library" in vars(encoder)
+    assert encoder.vocab_size == library_cached(BYTE).get_vocab_size()
